@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -16,10 +17,10 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_lumenshelf_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as d:
-        sc.addPyFile(shutil.make_archive(f"{d}/{ROOT.name}", "zip", ROOT.parent, ROOT.name))
-        sc._lumenshelf_shipped = True
-        # addPyFile serves the copy it takes; the folder may go
+    d = tempfile.mkdtemp(prefix="lumenshelf-")  # the driver serves the file from here while it lives
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(f"{d}/{ROOT.name}", "zip", ROOT.parent, ROOT.name))
+    sc._lumenshelf_shipped = True
 
 
 def local_session(cpus: int | str = 8, memory: str = "16g", partitions: int = 8, **conf: str) -> SparkSession:

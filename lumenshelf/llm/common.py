@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -49,3 +50,8 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, egojoin, fingerprint, langid, minhash, mixing, urltree
+from . import bpe, egojoin, fingerprint, langid, minhash, mixing, passages, urltree
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.by_document(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
 def op10_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
+    "op8_passages": op8_passages,
     "op9_bpe": op9_bpe,
     "op10_urltree": op10_urltree,
 }

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .arrays import U, Words, mix, ragged, row_chunks, signed
 from .common import Scratch
 
-DEPTH = 4
-BLOCK_BYTES = 32 << 20
+DEPTH = 5
+BLOCK_BYTES = 48 << 20
 SEEN = "block long, kind int, key long, n long"
 
 
@@ -230,19 +230,22 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
             pred, known = blend(pred, known, *found[d].estimate(bit))
         prefix = bits(code & 255)[0]
         pred = roots.value.finish(pred, known, np.broadcast_to((code >> 8) & 255, prefix.shape), prefix, bit)
-        return pd.DataFrame({"kind": 0, "key": code, "value": np.log10(pred).sum(axis=0), "known": False})
+        return pd.DataFrame({"kind": 0, "key": code, "value": np.log10(pred).sum(axis=0)})
 
-    values = by_pair.applyInPandas(predict, "kind int, key long, value double, known boolean")
-    base = F.log10((F.col("n") + 0.1) / F.lit(n_all + 0.1 * (n_distinct + 1)))
-    both = store.keep(values.union(words.select("kind", "key", base.alias("value"), (F.col("n") > 0).alias("known"))))
+    # log-probabilities of codes, counts of words
+    values = by_pair.applyInPandas(predict, "kind int, key long, value double")
+    both = store.keep(values.union(words.select("kind", "key", F.col("n").cast("double").alias("value"))))
+    store.drop(totals)
     back = seen.select("block", "kind", "key").join(both, ["kind", "key"])
-    end_base = float(np.log10((n_train + 0.1) / (n_all + 0.1 * (n_distinct + 1))))
+    scale = n_all + 0.1 * (n_distinct + 1)
+    end_base = float(np.log10((n_train + 0.1) / scale))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = right["kind"].to_numpy()
-        key, value, known = (right[c].to_numpy() for c in ("key", "value", "known"))
+        key, value = right["key"].to_numpy(), right["value"].to_numpy()
         code_of, word_of = (Table(key[kind == k].view(U)) for k in (0, 1))
-        code_value, word_value, word_known = value[kind == 0], value[kind == 1], known[kind == 1]
+        code_value, word_known = value[kind == 0], value[kind == 1] > 0
+        word_value = np.log10((value[kind == 1] + 0.1) / scale)
         raw = left["t"].to_pylist()
         out = []
         for a, b in row_chunks(raw):

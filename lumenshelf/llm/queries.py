@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, egojoin, fingerprint, langid, minhash, mixing, passages, urltree
+from . import bpe, bwt, ctw, egojoin, fingerprint, langid, minhash, mixing, passages, urltree
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = bwt.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = ctw.score(table(spark, sf_dir, "documents"), train=remainder(10) != 0)
     return scored.withColumn("held_out", ~F.col("train")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
+    "op6_bwt": op6_bwt,
     "op7_ctw": op7_ctw,
     "op8_passages": op8_passages,
     "op9_bpe": op9_bpe,

@@ -2,8 +2,8 @@
 
 Two equal strings of `length` bytes have equal 40-byte grams of least hash (anchors) at the same place, so texts are first
 cut to segments: the windows of a text that have one anchor in common, with the bytes they cover. Segments whose anchor
-occurs once can't repeat and go no further. The others meet by anchor, where equal segments become one. The distinct
-segments are collected to shards; each shard's transform comes from a suffix sort of that shard, and shard transforms are
+occurs once can't repeat and go no further. The others meet by anchor, where segments equal to an earlier one (by 64-bit
+hashes of anchor and segment) are repeats as a whole. Distinct segments that share an anchor are collected to shards; each shard's transform comes from a suffix sort of that shard, and shard transforms are
 merged by refining their interleave: each turn deals the rows stably by the two symbols before them, so after t turns rows
 are ordered by 2t bytes, without comparing suffixes again. Rows that no turn has told apart share a prefix of `length`
 bytes: the repeated intervals, in which all but the earliest start are removed.
@@ -14,7 +14,6 @@ as unique; rows repeated whole count as one document and all get its result. Row
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, mix, ragged, row_chunks, signed
+from .arrays import U, hash_slices, mix, ragged, row_chunks, signed
 from .common import Scratch
 
 LENGTH = 100
@@ -31,15 +30,15 @@ SHARD = 1 << 18
 TOGETHER = 1 << 20  # bytes of shards merged at once; a larger group of segments is merged alone
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, last start, anchor hash) of each segment: starts of `length`-byte windows with one anchor."""
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(row, first start, last start, anchor hash, hash of all bytes) of each segment: starts of `length`-byte windows with one anchor."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     n = len(buf) - 8
     wide = length - GRAM + 1
     if n < length:
-        return (np.zeros(0, np.int64),) * 4
+        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, U), np.zeros(0, U)
     lanes = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
     m = n - GRAM + 1
     h = mix(lanes[:m] + U(GRAM))
@@ -58,15 +57,16 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nd
     spot = (low[at] & U(0xFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (spot[1:] != spot[:-1]) | (row[1:] != row[:-1])]) if len(at) else at
     last = np.r_[new[1:], len(at)] - 1
-    return row[new], at[new] - begin[row[new]], at[last] - begin[row[new]], h[spot[new]]
+    whole = hash_slices(buf, at[new], at[last] - at[new] + length)
+    return row[new], at[new] - begin[row[new]], at[last] - begin[row[new]], h[spot[new]], whole
 
 
-def long_anchors(text: bytes, length: int, piece: int = 1 << 23) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def long_anchors(text: bytes, length: int, piece: int = 1 << 23) -> tuple[np.ndarray, ...]:
     """anchors() of one very long text, in overlapping pieces; a segment at a seam may come in two parts, which is harmless."""
     parts = []
     for a in range(0, max(1, len(text) - length + 1), piece):
-        _, s, e, k = anchors([text[a : a + piece + length - 1]], length)
-        parts.append((s + a, e + a, k))
+        _, s, e, k, x = anchors([text[a : a + piece + length - 1]], length)
+        parts.append((s + a, e + a, k, x))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
@@ -166,50 +166,54 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in row_chunks(raw):
                 if len(raw[a]) >= 1 << 23:
-                    s, e, k = long_anchors(raw[a], length)
+                    s, e, k, x = long_anchors(raw[a], length)
                     row = np.zeros(len(s), np.int64)
                 else:
-                    row, s, e, k = anchors(raw[a:b], length)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(ids[a:b][row]), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int16))], names=["key", "doc", "start", "more"])
+                    row, s, e, k, x = anchors(raw[a:b], length)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(signed(x)), pa.array(ids[a:b][row]), pa.array(s.astype(np.int32)), pa.array((e - s).astype(np.int16))], names=["key", "whole", "doc", "start", "more"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows, sorted by key, whose key occurs more than once."""
-        held, known = None, None  # a last row that may be alone; a last key that isn't
+        """Sorted by key, whole, place: rows whose bytes the row before has too (copy), and first rows of those bytes whose key
+        has other bytes as well."""
+        last: tuple | None = None  # key and whole of the row before
+        held, known = None, None  # a first row that may be alone with its key; a key that isn't
         for batch in batches:
-            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key, whole = batch["key"].to_numpy(), batch["whole"].to_numpy()
+            same = np.r_[last is not None and (key[0], whole[0]) == last, (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])]
+            last = key[-1], whole[-1]
+            copies = batch.filter(pa.array(same)).drop_columns(["whole"])
+            yield copies.append_column("copy", pa.array(np.ones(len(copies), bool)))
+            firsts = batch.filter(pa.array(~same)).drop_columns(["whole"])
+            if not len(firsts):
+                continue
+            t = pa.Table.from_batches([firsts] if held is None else [held, firsts]).combine_chunks()
             key = t["key"].to_numpy()
-            same = key[1:] == key[:-1]
-            ok = np.r_[False, same] | np.r_[same, False]
+            equal = key[1:] == key[:-1]
+            ok = np.r_[False, equal] | np.r_[equal, False]
             if known is not None:
                 ok |= key == known
             held, known = (None, key[-1]) if ok[-1] else (t.slice(len(key) - 1).to_batches()[0], None)
-            yield from t.filter(pa.array(ok)).to_batches()
+            for part in t.filter(pa.array(ok)).to_batches():
+                yield part.append_column("copy", pa.array(np.zeros(len(part), bool)))
 
-    marked = docs.mapInArrow(mark, "key long, doc long, start int, more short").repartition("key").sortWithinPartitions("key")
-    wanted = store.keep(marked.mapInArrow(again, "key long, doc long, start int, more short"))
+    def sieve() -> DataFrame:
+        marked = docs.mapInArrow(mark, "key long, whole long, doc long, start int, more short").repartition("key")
+        return store.keep(marked.sortWithinPartitions("key", "whole", "doc", "start").mapInArrow(again, "key long, doc long, start int, more short, copy boolean"))
+
+    wanted = sieve()
     store.release()
-    lists = wanted.groupBy("doc").agg(F.collect_set(F.struct("start", "more", "key")).alias("at"))
-    rows = docs.join(lists, "doc")
+    copies = wanted.where("copy").select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments, equal ones of a batch once (the earliest); the others are spans (no key of their own)."""
         for batch in batches:
-            seen: dict[bytes, list[tuple[int, int, int]]] = {}
-            data: dict[bytes, bytes] = {}
+            out = []
             for doc, t, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "at")), strict=True):
                 for x in at:
                     part = t[x["start"] : x["start"] + x["more"] + length]
                     if len(part) == x["more"] + length:
-                        name = hashlib.blake2b(part, digest_size=16, key=x["key"].to_bytes(8, "little", signed=True)).digest()
-                        seen.setdefault(name, []).append((doc, x["start"], x["key"]))
-                        data[name] = part
-            out = []
-            for name, places in seen.items():
-                first = min(places)
-                out.append((first[2], first[0], first[1], len(data[name]), data[name]))
-                out += [(int.from_bytes(hashlib.blake2b(b"%d" % d, digest_size=8).digest(), "little", signed=True), d, s, len(data[name]), None) for d, s, _ in places if (d, s) != first[:2]]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "start", "size", "data"])
+                        out.append((x["key"], doc, x["start"], part))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "start", "data"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, bulk = None, {}, []
@@ -225,10 +229,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             group.clear()
 
         for batch in batches:
-            for k, doc, start, n, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if data is None:
-                    spans.append((doc, start, start + n))
-                    continue
+            for k, doc, start, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if k != key:
                     close()
                     key = k
@@ -238,7 +239,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                         size = 0
                 first = group.setdefault(data, (doc, start))
                 if first != (doc, start):
-                    spans.append((doc, start, start + n))
+                    spans.append((doc, start, start + len(data)))
             yield _spans_batch(spans)
             spans = []
         close()
@@ -246,11 +247,14 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
             spans += repeats(bulk, length)
         yield _spans_batch(spans)
 
-    segments = rows.mapInArrow(cut, "key long, doc long, start long, size long, data binary").repartition("key").sortWithinPartitions("key", "doc", "start")
-    spans = store.keep(segments.mapInArrow(solve, SPANS).distinct())
-    store.drop(wanted)
+    def merged() -> DataFrame:
+        lists = wanted.where("not copy").groupBy("doc").agg(F.collect_set(F.struct("start", "more", "key")).alias("at"))
+        segments = docs.join(lists, "doc").mapInArrow(cut, "key long, doc long, start long, data binary").repartition("key")
+        return store.keep(segments.sortWithinPartitions("key", "doc", "start").mapInArrow(solve, SPANS).distinct())
+
+    spans = merged()
     store.release()
-    return spans
+    return spans.union(copies)
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

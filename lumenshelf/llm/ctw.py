@@ -27,7 +27,8 @@ from .arrays import U, Words, mix, ragged, row_chunks, signed
 from .common import Scratch
 
 DEPTH = 5
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
+CHUNK = 1 << 20
 SEEN = "block long, kind int, key long, n long"
 
 
@@ -192,7 +193,7 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
         block = group["block"][0].as_py()
         raw, learn = group["t"].to_pylist(), group["learn"].to_numpy(zero_copy_only=False)
         codes, words = ([], []), ([], [])
-        for a, b in row_chunks(raw):
+        for a, b in row_chunks(raw, CHUNK):
             code, row, w = encode(raw[a:b])
             for got, keys, rows_of in ((codes, code, row), (words, w.hash, w.doc)):
                 tag = learn[a:b][rows_of]
@@ -248,7 +249,7 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
         word_value = np.log10((value[kind == 1] + 0.1) / scale)
         raw = left["t"].to_pylist()
         out = []
-        for a, b in row_chunks(raw):
+        for a, b in row_chunks(raw, CHUNK):
             n = b - a
             code, row, w = encode(raw[a:b])
             at = word_of.find(w.hash) if len(w.hash) else np.zeros(0, np.int64)

@@ -26,7 +26,7 @@ ENVELOPE = f"event_id string, type string, version int, occurred_at string, sour
 def parse(raw: DataFrame, value: str = "value") -> DataFrame:
     """All columns, with the event's fields and `reason`: why it is not valid, null if it is."""
     e = raw.withColumn("_e", F.from_json(F.col(value), ENVELOPE, {"mode": "PERMISSIVE"}))
-    e = e.select(*raw.columns, F.col("_e").isNull().alias("_bad"), "_e.*").withColumn("ts", F.try_to_timestamp("occurred_at"))
+    e = e.select(*raw.columns, F.try_parse_json(F.col(value)).isNull().alias("_bad"), "_e.*").withColumn("ts", F.try_to_timestamp("occurred_at"))
     return e.withColumn("reason", F.substring(_reason(), 1, 500)).drop("_bad")
 
 

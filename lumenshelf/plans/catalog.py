@@ -266,7 +266,7 @@ def fuzzy_enum_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", token.alias("token"), text.fuzzy_resolve(token, ["economy", "standard", "promo", "large", "small", "medium"]).alias("resolved"))
 
 
-@query("""SELECT conv_id, turn, length(text) AS n, round(0.3 + 0.6 * contains(lower(text), 'the')::INT, 4) AS fit FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, length(text) AS n, round(0.3 + 0.6 * contains(lower(text), 'the')::INT, 4)::DOUBLE AS fit FROM conversations WHERE text IS NOT NULL""")
 def textual_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("text is not null")
     return c.select("conv_id", "turn", F.length("text").alias("n"), text.textual_match(F.col("text"), F.lit("the")).alias("fit"))
@@ -279,7 +279,7 @@ PAIRS = ", ".join(f"('{a}', '{b}', {s})" for a, b, s in color.pair_table() if a
 
 @query(with_products(f""", pairs(a, b, s) AS (VALUES {PAIRS}), scored AS (
   SELECT d.id AS dress, x.id AS other, round(least(1.0, s + CASE WHEN d.primary_color = x.primary_color THEN 0.05 ELSE 0 END + CASE WHEN d.primary_color IN ('Red', 'Blue') AND x.primary_color = 'Multicolor' THEN 0.08 ELSE 0 END
-   + CASE WHEN list_has_any(d.occasion, x.occasion) THEN 0.18 ELSE 0.06 END + 0.1), 3) AS score
+   + CASE WHEN list_has_any(d.occasion, x.occasion) THEN 0.18 ELSE 0.06 END + 0.1), 3)::DOUBLE AS score
   FROM products d JOIN products x ON x.type = 'PROMO' AND x.price < 950 JOIN pairs ON a = d.primary_color AND b = x.primary_color WHERE d.type = 'LARGE'),
 r AS (SELECT *, row_number() OVER (PARTITION BY dress ORDER BY score DESC, other) AS rank FROM scored)
 SELECT dress, other, score, rank FROM r WHERE rank <= 2"""))
@@ -316,7 +316,7 @@ def diversity_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("p_brand", F.posexplode("picked").alias("at", "x")).select("p_brand", F.col("x.p_partkey").alias("p_partkey"), (F.col("at") + 1).alias("place"))
 
 
-@query(with_products(f""", pairs(a, b, s) AS (VALUES {PAIRS}), s AS (SELECT h.id AS hero_id, p.id, round(s, 3) AS score FROM products h JOIN products p
+@query(with_products(f""", pairs(a, b, s) AS (VALUES {PAIRS}), s AS (SELECT h.id AS hero_id, p.id, round(s, 3)::DOUBLE AS score FROM products h JOIN products p
   ON p.in_stock IS DISTINCT FROM false AND p.gender = h.gender AND p.id <> h.id AND p.price <= 1.4 * h.price JOIN pairs ON a = h.primary_color AND b = p.primary_color WHERE h.id < 30),
 r AS (SELECT *, row_number() OVER (PARTITION BY hero_id ORDER BY score DESC, id) AS rank FROM s) SELECT hero_id, id, score, rank FROM r WHERE rank <= 5"""))
 def outfit_completion(spark: SparkSession, sf_dir: str) -> DataFrame:

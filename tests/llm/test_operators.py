@@ -1,0 +1,358 @@
+"""The training-data operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenshelf.llm import bpe, bwt, ctw, egojoin, fingerprint, langid, minhash, mixing, passages, queries, urltree
+from lumenshelf.llm.common import Scratch
+from lumenshelf.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, vocabulary=5000):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def frame(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en" if k % 2 else None, f"s{k % 3}", None if t is None else len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, shared passages, short, empty, null and long texts."""
+    rng = random.Random(3)
+    base = [" ".join(words(rng, rng.randrange(60, 200))) for _ in range(20)]
+    passage = " ".join(words(rng, 58))
+    near = [" ".join(x if rng.random() > 0.01 else "edit" for x in base[k % 3].split()) for k in range(8)]
+    mixed = [" ".join(words(rng, 40)) + " " + passage + " " + " ".join(words(rng, 30)) for _ in range(4)]
+    return [*base, base[0], base[0].upper(), *near, *mixed, "", None, "one", "one two", "é 漢字 😀 's don't  ", " ".join(words(rng, 20000, 100000)), "x" * 5000]
+
+
+def clean_words(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", low)
+
+
+# --- embeddings ----------------------------------------------------------------------------------------------------------
+
+
+def test_egojoin(spark):
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 16))
+    v = [(centers[i % 12] + rng.normal(size=16) * 0.15 * (i % 4)).tolist() for i in range(240)]
+    v[5], v[6], v[7], v[8], v[9], v[10] = None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, v[11]
+    v[12] = [2 * x for x in v[13]]
+    v[14] = [1.0, 2.0]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in egojoin.near_vectors(df).collect()}
+    ok = {i: np.array(x) / np.linalg.norm(x) for i, x in enumerate(v) if x and None not in x and np.isfinite(x).all() and any(x)}
+    links = {i: [j for j in ok if j != i and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] >= 0.9] for i in ok}
+    assert {i: n for i, (n, _) in got.items()} == {i: len(links.get(i, [])) for i in range(240)}
+    assert {i: c for i, (_, c) in got.items()} == smallest(links, range(240))
+    assert egojoin.near_vectors(df.limit(0)).count() == 0
+
+
+def smallest(links, ids):
+    out = {}
+    for i in sorted(ids):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in out:
+                out[j] = i
+                todo += links.get(j, [])
+    return out
+
+
+def test_components_of_a_long_chain(spark):
+    store = Scratch(spark, "test")
+    edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in components(edges, store).collect()} == {1}
+    assert components(edges.limit(0), store).count() == 0
+
+
+# --- language ------------------------------------------------------------------------------------------------------------
+
+
+def test_langid_held_out(spark):
+    got = queries.op2_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out and lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
+
+
+def test_langid_edges(spark, corpus):
+    df = frame(spark, [*corpus, "123 !!", None]).withColumn("score", F.lit("clash"))
+    model = langid.train(df)
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(corpus) + 2
+    assert all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in got)
+    assert all(0 <= r.score <= 1 for r in got)
+    none = langid.train(df.limit(0))
+    assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
+
+
+# --- fingerprints --------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, corpus):
+    df = frame(spark, corpus)
+    got = {r.doc_id: r for r in fingerprint.with_edits(df, per_range=7).collect()}
+    texts = {i: t or "" for i, t in enumerate(corpus)}
+    order = sorted(texts, reverse=True)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, u = texts[a], texts[b]
+        k = len(t) // 3
+        edited = t[: len(t) - k] + u[:k]
+        assert got[a].n_chars == len(t)
+        assert got[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        x, y, z = fingerprint.sketches([t.encode(), edited.encode(), u.encode()])
+        assert got[a].fingerprint == fingerprint.to_text(x) and got[a].edited_fingerprint == fingerprint.to_text(y)
+        assert (got[a].near_edited, got[a].near_next) == (fingerprint.likeness(x, y), fingerprint.likeness(x, z))
+    assert got[0].fingerprint == got[20].fingerprint
+    assert fingerprint.with_edits(df.limit(0)).count() == 0
+    assert fingerprint.with_edits(df.limit(1)).count() == 1
+
+
+def test_sketches_estimate():
+    rng = random.Random(1)
+    a = words(rng, 20000)
+    part = a[:2000]
+    x, y = fingerprint.sketches([" ".join(a).encode(), " ".join(part).encode()])
+    assert fingerprint.containment(y, x) > 0.95
+    assert abs(fingerprint.likeness(x, y) - 0.1) < 0.05
+    both = fingerprint.merge(x, y)
+    assert fingerprint.likeness(both, x) == 1.0
+    assert np.array_equal(fingerprint.from_text(fingerprint.to_text(x)), x)
+
+
+# --- near duplicates -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_minhash(spark, corpus, width, percent):
+    df = frame(spark, [*corpus, *corpus[:3]], [*range(len(corpus)), 0, 1, 2]).withColumn("rep", F.lit("clash"))
+    got = minhash.near_duplicates(df, width=width, percent=percent).collect()
+    assert len(got) == len(corpus) + 3
+    sets = {}
+    for i, t in enumerate(corpus):
+        w = clean_words(t)
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    links = {i: [j for j in sets if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])] for i in sets}
+    want = smallest(links, sets)
+    assert all((r.n_shingles, r.component) == (len(sets[r.id]), want[r.id]) for r in got)
+    kept = minhash.keep_one(df, width=width, percent=percent)
+    assert {r.doc_id for r in kept.collect()} == set(want.values())
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_minhash_nulls(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, None), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert sorted((r.id or -1, r.component or -1) for r in minhash.near_duplicates(df).collect()) == [(-1, -1), (-1, -1), (1, 1), (2, 2)]
+
+
+# --- exact substrings ----------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts, length=100):
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        m = np.zeros(len(b), bool)
+        for j in range(len(b) - length + 1):
+            k = b[j : j + length]
+            if k in seen:
+                m[j : j + length] = True
+            seen.add(k)
+        out[i] = (len(b), int(m.sum()), int(np.diff(np.r_[0, m.astype(int)]).clip(0).sum()), np.frombuffer(b, np.uint8)[~m].tobytes())
+    return out
+
+
+def test_bwt(spark, corpus):
+    rng = random.Random(5)
+    line = " ".join(words(rng, 25))
+    texts = [*corpus[:-2], line * 3, line + "\0" + line, "ab" * 300, "x" * 5000, "ab" * 120 + line[:110]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in bwt.remove_repeats(frame(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+    assert bwt.remove_repeats(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_merged_transforms_group_equal_prefixes():
+    rng = random.Random(2)
+    segments = [(i, 0, bytes(rng.choice(b"ab") for _ in range(rng.randrange(20, 60)))) for i in range(200)]
+    shards = [bwt.Shard([s[2] for s in segments[k : k + 50]], 12) for k in range(0, 200, 50)]
+    seg, place, group = bwt.merge(shards, 12)
+    by_group, by_text = {}, {}
+    for s, p, g in zip(seg, place, group, strict=True):
+        if p + 12 <= len(segments[s][2]):
+            by_group.setdefault(int(g), set()).add((int(s), int(p)))
+            by_text.setdefault(segments[s][2][p : p + 12], set()).add((int(s), int(p)))
+    assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_text.values()))
+
+
+# --- scores --------------------------------------------------------------------------------------------------------------
+
+
+def test_ctw_counts_and_base(spark, corpus):
+    df = frame(spark, [*corpus, corpus[0]])
+    got = {r.doc_id: r for r in ctw.score(df, F.col("doc_id") % 5 != 0, block_bytes=20000).collect()}
+    assert len(got) == len(corpus) + 1
+    count, total = {}, 0
+    for i, t in enumerate([*corpus, corpus[0]]):
+        if i % 5:
+            for w in [*clean_words(t), None]:
+                count[w] = count.get(w, 0) + 1
+                total += 1
+    for i, t in enumerate([*corpus, corpus[0]]):
+        tokens = [*clean_words(t), None]
+        base = sum(np.log10((count.get(w, 0) + 0.1) / (total + 0.1 * (len(count) + 1))) for w in tokens)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in count for w in tokens), total)
+        assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base))
+        assert got[i].score < 0
+
+
+def test_ctw_is_a_distribution():
+    """Over all bytes after one context, seen or not, probabilities add up to one; and they equal the recursive definition."""
+    rng = random.Random(4)
+    data = bytes(rng.choice(b"abra ") for _ in range(400))
+    depth = ctw.DEPTH
+    code = np.array([int.from_bytes(data[i - depth : i + 1], "big") for i in range(depth, len(data))], np.int64)
+    codes, n = np.unique(code, return_counts=True)
+    ctx = int.from_bytes(data[10 : 10 + depth], "big")
+    every = np.array([ctx << 8 | b for b in range(256)], np.int64)
+    all_codes = np.union1d(codes, every)
+    counts = np.zeros(len(all_codes), np.int64)
+    counts[np.searchsorted(all_codes, codes)] = n
+    found, bit = ctw.levels(all_codes, counts, depth, 0)
+    pred, known = np.full(bit.shape, 0.5), np.zeros(bit.shape, bool)
+    for d in range(depth, -1, -1):
+        pred, known = ctw.blend(pred, known, *found[d].estimate(bit))
+    p = pred.prod(axis=0)[np.searchsorted(all_codes, every)]
+    assert abs(p.sum() - 1) < 1e-9
+    assert p.argmax() in data
+
+
+def test_ctw_beats_words_on_held_out_text(spark):
+    got = queries.op7_ctw(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_ctw_edges(spark):
+    df = spark.createDataFrame([(None, None), (1, "a b"), (1, "a b")], "doc_id long, text string")
+    assert ctw.score(df, F.lit(False)).count() == 3
+    assert ctw.score(df.limit(0), F.lit(True)).count() == 0
+
+
+# --- passages ------------------------------------------------------------------------------------------------------------
+
+
+def test_passages_find_every_verbatim_repeat(spark, corpus):
+    df = frame(spark, corpus)
+    got = {r.doc_id: r for r in passages.by_document(df).collect()}
+    first, n = {}, 0
+    for i, t in enumerate(corpus):
+        w = clean_words(t)
+        cover = set()
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), i) < i:
+                cover |= set(range(j, j + 50))
+        mine = {k for s in got[i].spans for k in range(s.start, s.end)}
+        assert cover <= mine
+        assert (got[i].n_words, got[i].n_dup_words) == (len(w), len(mine))
+        n += len(cover)
+    assert n > 300
+    assert got[3].n_dup_words == 0
+    cut = {r.doc_id: r.text for r in passages.cut_passages(df).collect()}
+    assert 20 not in cut and cut[3] == corpus[3] and None in cut.values()
+    assert passages.by_document(df.limit(0)).count() == 0
+
+
+def test_compact_windows():
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    got = set(zip(*(x.tolist() for x in passages.compact_windows(v, np.array([0]), np.array([300]), 20)), strict=True))
+    want = set()
+    for c in range(300):
+        l = r = c
+        while l > 0 and v[l - 1] > v[c]:
+            l -= 1
+        while r < 299 and v[r + 1] > v[c]:
+            r += 1
+        if r - l + 1 >= 20:
+            want.add((c, l, r))
+    assert got == want
+
+
+# --- mixing --------------------------------------------------------------------------------------------------------------
+
+
+def test_schedule_stays_within_a_block():
+    share = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 200)
+    assert sum(share.values()) == 200
+    done = dict.fromkeys(share, 0)
+    plan = mixing.schedule(share, 200)
+    assert len(plan) == 200
+    for source, _, release, due, slot in plan:
+        assert release <= slot < due
+        done[source] += 1
+        assert all(abs(done[k] - share[k] / 200 * (slot + 1)) < 1 for k in share)
+
+
+def test_mix(spark):
+    rows = [(i if i % 50 else None, "t", None, None if i % 7 == 0 else f"s{i % 3 if i % 2 else 0}", 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash"))
+    got = mixing.mix(df, block=8, frame=100).collect()
+    assert len(got) == 3000
+    assert len({r.place for r in got}) == 3000
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+    assert [r.place for r in mixing.mix(df, block=8, frame=100).orderBy("place").collect()] == sorted(r.place for r in got)
+
+
+# --- tokens --------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_library(spark, corpus):
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    ranks = bpe.read_ranks(queries.vocabulary())
+    tool = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    noise = ["".join(rng.choice("ab's tlre'vmd 1²３\n\t  é漢!.,-'' 😀　ſ́'") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    df = frame(spark, [*corpus, *noise]).withColumn("n_tokens", F.lit("clash"))
+    got = bpe.decode(bpe.encode(df, queries.vocabulary()), queries.vocabulary()).collect()
+    texts = [*corpus, *noise]
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        want = tool.encode_ordinary(t)
+        assert np.frombuffer(bytes(r.token_ids), "<u4").tolist() == want and r.n_tokens == len(want)
+        assert bytes(r.decoded) == t.encode()
+    assert bpe.encode(df.limit(0), queries.vocabulary()).count() == 0
+    assert bpe.encode(df.limit(3), queries.vocabulary()).select(bpe.unpack()).first()[0] == tool.encode_ordinary(texts[0])
+
+
+# --- addresses -----------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    urls = ["https://A.Example.ORG/es/1?x", "http://a.example.org/en/12", "http://com/fr/x", "http://notcom/fr/x", None, "no scheme", "https://x.com#y", "https://x.com/de/1", "https://x.com/de/2.html", "ftp://net/a/b/c/d/e/f"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
+    got = {r.page_id: r for r in urltree.judge(df).collect()}
+    assert len(got) == len(urls)
+    assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert (got[1].rule, got[2].verdict, got[3].rule) == ("example.org/en/1", "allow", None)
+    assert (got[4].host, got[4].path, got[5].host, got[6].path) == ("", "", "", "")
+    assert got[8].template == "/de/*.html" and got[9].template == "/a/b/c/d/**"
+    assert all(r.verdict in ("allow", "block") for r in got.values())
+    assert urltree.judge(df.limit(0)).count() == 0

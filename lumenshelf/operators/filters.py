@@ -11,7 +11,13 @@ from ..functions.text import col
 
 GENDERS = ("women", "men", "kids", "unisex")
 #: What a print request covers.
-PRINT_PATTERNS = {"printed": ["printed", "digital-print", "floral", "geometric"], "plain": ["plain"], "embroidered": ["embroidered", "embellished"]}
+PRINT_PATTERNS = {
+    "embroidered": ["embroidered", "embellished", "mixed"],
+    "embellished": ["embroidered", "embellished", "mixed"],
+    "plain": ["plain", "textured"],
+    "printed": ["printed", "digital-print", "floral", "geometric"],
+    "mixed": ["mixed", "embroidered", "printed", "embellished"],
+}
 #: Silhouettes that must match as they are.
 DISTINCTIVE = ["lehenga", "saree", "frock", "abaya", "sherwani", "western", "co-ord", "palazzo"]
 NOT_OUTFITS = "(?i)dupatta|stole|scarf|scarves|clutch|bag|jewelry|jewellery"

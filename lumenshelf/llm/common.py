@@ -27,29 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written intermediate tables. They cut lineage and survive the loss of executors."""
+    """Written intermediate tables. They cut lineage, survive the loss of executors, and go when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            self._hadoop(self.root)[0].deleteOnExit(self._hadoop(self.root)[1])
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            fs, path = self._hadoop(df._scratch_path)
+            fs.delete(path, True)
+
+    def _hadoop(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""

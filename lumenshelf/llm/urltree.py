@@ -69,13 +69,14 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = R
     parsed = templates(parsed.withColumns({"rule": rule, "_given": given}))
     labels = parsed.groupBy("host", "parent", "template").agg(F.count("_given").alias("n"), F.count(F.when(F.col("_given") == "block", 1)).alias("b"))
     pooled = labels.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
-    prior = F.broadcast(labels.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior")))  # one row
-    both = labels.join(pooled, ["host", "parent"]).crossJoin(prior)
+    blocked, labelled = labels.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    prior = (blocked + 0.5) / (labelled + 2)
+    both = labels.join(pooled, ["host", "parent"])
     share = F.col("pb") / F.greatest(F.col("pn"), F.lit(1))
     gap = F.abs(F.col("b") - F.col("n") * share)
     merged = (F.col("parent") != "") & (gap * gap <= Z * Z * F.col("n") * share * (1 - share))
     b, n = F.when(merged, F.col("pb")).otherwise(F.col("b")), F.when(merged, F.col("pn")).otherwise(F.col("n"))
-    purity = both.select("host", "parent", "template", ((b + STRENGTH * F.col("prior")) / (n + STRENGTH)).alias("purity"))
+    purity = both.select("host", "parent", "template", ((b + STRENGTH * prior) / (n + STRENGTH)).alias("purity"))
     judged = parsed.join(purity, ["host", "parent", "template"], "left")
     verdict = F.coalesce("_given", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
     return judged.select(*kept.columns, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

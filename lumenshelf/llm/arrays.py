@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -24,6 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that Python holds few texts at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def row_chunks(texts: list[bytes], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `limit` bytes each; a longer text stands alone."""
     a = size = 0

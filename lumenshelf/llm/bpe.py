@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import hash_slices, ragged, row_chunks
+from .arrays import hash_slices, ragged, row_chunks, small
 
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 #: Code points with the Unicode property White_Space.
@@ -32,7 +32,7 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 #: Letters that follow an apostrophe in a contraction.
 ONE, TWO = "stmd", ("re", "ve", "ll")
 LONG = 64  # bytes; longer slices are merged one at a time with a heap
-CACHE = 1 << 20  # slices
+CACHE = 1 << 19  # slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,8 +113,8 @@ class Merger:
 
     def clear(self) -> None:
         self.seen = np.zeros(0, np.uint64)
-        self.seen_at = self.seen_n = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int64)
+        self.seen_at = self.seen_n = np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.int32)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.space + b
@@ -218,12 +218,12 @@ class Merger:
             flat, count = self.merge(buf, start[first[new]], length[first[new]])
             merged = np.r_[self.seen, keys[new]]
             order = np.argsort(merged, kind="stable")
-            self.seen_at = np.r_[self.seen_at, len(self.pool) + np.cumsum(count) - count][order]
-            self.seen_n, self.seen, self.pool = np.r_[self.seen_n, count][order], merged[order], np.r_[self.pool, flat]
+            self.seen_at = np.r_[self.seen_at, (len(self.pool) + np.cumsum(count) - count).astype(np.int32)][order]
+            self.seen_n, self.seen, self.pool = np.r_[self.seen_n, count.astype(np.int32)][order], merged[order], np.r_[self.pool, flat.astype(np.int32)]
             known = self.lookup(keys)
         slot = known[which]
-        n = self.seen_n[slot]
-        ids = self.pool[ragged(self.seen_at[slot], n)]
+        n = self.seen_n[slot].astype(np.int64)
+        ids = self.pool[ragged(self.seen_at[slot], n)].astype(np.int64)
         upto = np.r_[0, np.cumsum(n)]
         edge = upto[np.searchsorted(token, np.r_[begin, len(cp)])]
         if not np.array_equal(self.decode(ids), buf[:-8]):  # two slices with one hash: never seen, but never wrong
@@ -263,7 +263,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(ranks)
-        for batch in batches:
+        for batch in small(batches):
             raw = [x or b"" for x in batch.column(spot).to_pylist()]
             for a, b in row_chunks(raw, 1 << 21):
                 ids, n = tool.encode([x.decode("utf-8", "replace") for x in raw[a:b]])
@@ -285,7 +285,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = merger(ranks)
-        for batch in batches:
+        for batch in small(batches):
             raw = [x or b"" for x in batch.column(spot).to_pylist()]
             for a, b in row_chunks(raw, 1 << 21):
                 flat = np.frombuffer(b"".join(raw[a:b]), "<u4").astype(np.int64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, hash_slices, mix, ragged, row_chunks, signed
+from .arrays import U, hash_slices, mix, ragged, row_chunks, signed, small
 from .common import Scratch
 
 LENGTH = 100
@@ -162,7 +162,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("t")).where(F.col(doc_id).isNotNull() & (F.octet_length(text) >= length))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in row_chunks(raw):
                 if len(raw[a]) >= 1 << 23:
@@ -205,7 +205,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     copies = wanted.where("copy").select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("more") + length).cast("long").alias("end"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 256):
             out = []
             for doc, t, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "at")), strict=True):
                 for x in at:
@@ -264,7 +264,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     rows = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")).alias("t")).join(found, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc, t, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "t", "_s")), strict=True):
                 runs: list[list[int]] = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import U, Words, bounds, row_chunks
+from .arrays import U, Words, bounds, row_chunks, small
 from .common import Scratch
 
 FRACTION = 1 / 64
@@ -89,7 +89,7 @@ def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             raw = [x or b"" for x in batch.column(len(kept)).to_pylist()]
             for a, b in row_chunks(raw):
                 made = [to_text(s) for s in sketches(raw[a:b])]
@@ -136,7 +136,7 @@ def with_edits(df: DataFrame, per_range: int = 2000, doc_id: str = "doc_id", tex
     lend = spark.sparkContext.broadcast(at_k)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.column("k").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([False] * len(k))], names=[*batch.schema.names, "guest"])
             pick = [i for i, x in enumerate(k) if x in lend.value]
@@ -156,7 +156,7 @@ def with_edits(df: DataFrame, per_range: int = 2000, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row whose next is still to come
-        for batch in batches:
+        for batch in small(batches):
             pairs: list[tuple[int | None, str, str]] = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 _, t, g, guest = row

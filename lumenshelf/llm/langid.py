@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import U, mix, row_chunks
+from .arrays import U, mix, row_chunks, small
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -65,7 +65,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             raw = [x or b"" for x in batch.column(0).to_pylist()]
             tag = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b in row_chunks(raw, 1 << 20):
@@ -92,7 +92,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in small(batches):
             raw = [x or b"" for x in batch.column(len(kept)).to_pylist()]
             best, score = np.full(len(raw), -1), np.zeros(len(raw))
             for a, b in row_chunks(raw, 1 << 20) if k else []:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +32,15 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(a, rows)
 
 
-def row_chunks(texts: list[bytes], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `limit` bytes each; a longer text stands alone."""
+def row_chunks(texts: Sequence, limit: int = 1 << 22, measure: Callable = len) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes each; a longer text stands alone. `measure` gives a row's bytes."""
     a = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        n = measure(t)
+        if size and size + n > limit:
             yield a, i
             a, size = i, 0
-        size += len(t) + 1
+        size += n + 1
     if a < len(texts):
         yield a, len(texts)
 

@@ -17,9 +17,12 @@ rows are scored each, and count each in training. Rows with null ids are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from .common import Scratch
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SEEN = "block long, kind int, key long, n long"
 
 
@@ -174,9 +177,37 @@ class Table:
         return out
 
 
-def _counted(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(n), len(k)).astype(np.int64)
+class Counts:
+    """Counts by key. Parts are added up once they outgrow what is held, so memory follows the distinct keys."""
+
+    def __init__(self, least: int = 1 << 18):
+        self.keys, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.least = 0, least
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        k, n = np.unique(keys, return_counts=True)
+        self.parts.append((k, n * weight))
+        self.waiting += len(k)
+        if self.waiting > max(self.least, len(self.keys)):
+            self.fold()
+
+    def fold(self) -> Counts:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
+        n = np.concatenate([self.n, *(x for _, x in self.parts)])
+        self.parts, self.waiting = [], 0
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(keys) else n
+        return self
+
+
+def _text_chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows with their texts; only one range is held as Python objects."""
+    size = pc.binary_length(texts).to_numpy()
+    for a, b in row_chunks(size, CHUNK, int):
+        yield a, b, texts.slice(a, b - a).to_pylist()
 
 
 def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -191,18 +222,16 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
 
     def survey(group: pa.Table) -> pa.Table:
         block = group["block"][0].as_py()
-        raw, learn = group["t"].to_pylist(), group["learn"].to_numpy(zero_copy_only=False)
-        codes, words = ([], []), ([], [])
-        for a, b in row_chunks(raw, CHUNK):
-            code, row, w = encode(raw[a:b])
+        learn = group["learn"].to_numpy()
+        codes, words = Counts(), Counts()
+        for a, b, raw in _text_chunks(group["t"]):
+            code, row, w = encode(raw)
             for got, keys, rows_of in ((codes, code, row), (words, w.hash, w.doc)):
                 tag = learn[a:b][rows_of]
-                for part, weight in ((keys[tag], 1), (keys[~tag], 0)):
-                    k, n = np.unique(part, return_counts=True)
-                    got[0].append(k)
-                    got[1].append(n * weight)
-        k0, n0 = _counted(*codes)
-        k1, n1 = _counted(*words)
+                got.add(keys[tag], 1)
+                got.add(keys[~tag], 0)
+        (k0, n0), (k1, n1) = ((x.keys, x.n) for x in (codes.fold(), words.fold()))
+        pa.default_memory_pool().release_unused()
         kind = np.r_[np.zeros(len(k0), np.int32), np.ones(len(k1), np.int32)]
         return pa.table([pa.array(np.full(len(kind), block)), pa.array(kind), pa.array(signed(np.r_[k0, k1])), pa.array(np.r_[n0, n1])], names=["block", "kind", "key", "n"])
 
@@ -247,15 +276,15 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
         code_of, word_of = (Table(key[kind == k].view(U)) for k in (0, 1))
         code_value, word_known = value[kind == 0], value[kind == 1] > 0
         word_value = np.log10((value[kind == 1] + 0.1) / scale)
-        raw = left["t"].to_pylist()
         out = []
-        for a, b in row_chunks(raw, CHUNK):
+        for a, b, raw in _text_chunks(left["t"]):
             n = b - a
-            code, row, w = encode(raw[a:b])
+            code, row, w = encode(raw)
             at = word_of.find(w.hash) if len(w.hash) else np.zeros(0, np.int64)
             out.append([w.counts + 1, np.bincount(w.doc, word_known[at], n) + (n_train > 0), np.bincount(w.doc, word_value[at], n) + end_base, np.bincount(row, code_value[code_of.find(code)], n), np.bincount(row, minlength=n)])
         tokens, hits, base_score, total, size = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 5
-        cols = [left["id"], left["learn"], pa.array(tokens.astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(np.full(len(raw), n_all)), pa.array(base_score), pa.array(total), pa.array(size.astype(np.int64)), pa.array(-total / np.log10(2) / size)]
+        pa.default_memory_pool().release_unused()
+        cols = [left["id"], left["learn"], pa.array(tokens.astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(np.full(len(left), n_all)), pa.array(base_score), pa.array(total), pa.array(size.astype(np.int64)), pa.array(-total / np.log10(2) / size)]
         return pa.table(cols, names=names)
 
     names = ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]

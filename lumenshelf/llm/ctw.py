@@ -266,6 +266,7 @@ def score(df: DataFrame, train: str | Column, doc_id: str = "doc_id", text: str
     values = by_pair.applyInPandas(predict, "kind int, key long, value double")
     both = store.keep(values.union(words.select("kind", "key", F.col("n").cast("double").alias("value"))))
     store.drop(totals)
+    store.release()
     back = seen.select("block", "kind", "key").join(both, ["kind", "key"])
     scale = n_all + 0.1 * (n_distinct + 1)
     end_base = float(np.log10((n_train + 0.1) / scale))

@@ -276,6 +276,25 @@ def test_passages_find_every_verbatim_repeat(spark, corpus):
     assert passages.by_document(df.limit(0)).count() == 0
 
 
+def edited(rng, text, every):
+    return [f"e{rng.random()}" if k % every == every - 1 else w for k, w in enumerate(text)]
+
+
+def test_passages_beside_text_with_more_edits():
+    rng = random.Random(11)
+    hashes = lambda *texts: [passages.Words([" ".join(t).encode()]).shingles(passages.WIDTH, short=False)[0] for t in texts]
+    for n, at, every in [(70, [35], 9), (120, [40, 80], 10), (90, [], 8)] * 20:
+        side, core, other = words(rng, 90, 10**6), words(rng, n, 10**6), words(rng, 90, 10**6)
+        close = [f"e{rng.random()}" if k in at else w for k, w in enumerate(core)]
+        a, b = hashes([*edited(rng, side, every), *close, *edited(rng, other, every)], [*words(rng, 7, 10**6), *side, *core, *other])
+        seed = 90 + n // 4
+        found = passages.compare(a, b, [(seed, seed + 7)], 50, 80)
+        assert set(range(92, 88 + n)) <= {k for s, e, _ in found for k in range(s, e)}
+        for s, e, how in found:
+            best = max(passages._similar(a[s : e - 4], b[x:y], 80)[1] for x in range(s + 5, s + 10) for y in range(e + 1, e + 6))
+            assert e - s >= 50 and 0.8 <= how <= best
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     v = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -295,6 +295,30 @@ def test_passages_beside_text_with_more_edits():
             assert e - s >= 50 and 0.8 <= how <= best
 
 
+def test_passages_of_covered_windows_and_second_copies(spark):
+    rng = random.Random(12)
+    new = lambda n: words(rng, n, 10**6)
+    texts: list[list[str]] = []
+    for _ in range(6):
+        core, line, foot = new(120), new(30), new(60)
+        # 30 words with the first, 60 with the second, of which the first covers a part
+        texts += [[*new(9), *core[30:], *new(9)], [*new(5), *core, *new(5)], [*new(7), *core[:60], *new(7)]]
+        texts += [[*new(50), *line, *new(50)] for _ in range(4)]
+        around = [*new(20), *line, *new(20)]
+        texts += [[*new(10), *around, *new(10)], [*new(30), *line, *new(30)], [*new(20), *around]]
+        texts += [[*new(30), *foot], [*new(20), *foot, *new(30), *foot, *new(25), *foot]]
+        texts += [[*line, *new(70), *foot[:45], *new(20), *core[20:70]]]
+    df = frame(spark, [" ".join(t) for t in texts])
+    got = {r.doc_id: {k for s in r.spans for k in range(s.start, s.end)} for r in passages.by_document(df).collect()}
+    first: dict[tuple, int] = {}
+    for i, t in enumerate(texts):
+        cover = set()
+        for j in range(len(t) - 49):
+            if first.setdefault(tuple(t[j : j + 50]), i) < i:
+                cover |= set(range(j, j + 50))
+        assert got[i] == cover
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     v = rng.integers(0, 2**63, 300, dtype=np.uint64)

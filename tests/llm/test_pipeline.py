@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenshelf.llm import queries
+from lumenshelf.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,6 +46,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where(F.col("n_tokens") == 0).count() == 0
 
 
+def test_position_is_the_order_of_the_mixture(spark, tmp_path):
+    rows = [(i, f"text {i} " + "word " * (400 if i % 5 == 0 else 1), "en", f"s{min(i % 7, 2)}", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    hashes = {r.doc_id: r.u for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 1).alias("u")).collect()}
+    sources: dict = {}
+    for i, _, _, source, _ in sorted(rows, key=lambda r: (hashes[r[0]], r[0])):
+        sources.setdefault(source, []).append(i)
+    share = mixing.shares({f"s{k}": len(x) ** 0.7 for k, x in sources.items()})
+    want = []
+    for source, block, _, _, _ in mixing.schedule(share):
+        want += sources[source[1:]][block * mixing.BLOCK : (block + 1) * mixing.BLOCK]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 2
+    out = corpus_pipeline.tokenize(spark, spark.read.parquet(str(tmp_path / "mixed")), SF)
+    got = out.select("doc_id", "position").collect()
+    assert len({r.position for r in got}) == 600
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want
+
+
 def test_pipeline_on_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -15,11 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of df has, whatever its case, for helper columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where nothing is set (tests), a temporary one of this process."""
+    """The folder in spark.checkpoint.dir. Where nothing is set, a local master (tests) gets a temporary one of this process;
+    on a cluster that would be a folder of one machine, so it is an error there."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumenshelf-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
@@ -27,12 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written intermediate tables. They cut lineage, survive the loss of executors, and go when the application ends."""
+    """Written intermediate tables. They cut lineage and survive the loss of executors. What an operator returns reads only its
+    last table (`finish`); the others go as soon as it is written, and the last when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.live: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -42,19 +59,28 @@ class Scratch:
             self._hadoop(self.root)[0].deleteOnExit(self._hadoop(self.root)[1])
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.live[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables nothing will read again."""
         for df in tables:
-            fs, path = self._hadoop(df._scratch_path)
-            fs.delete(path, True)
+            if self.live.pop(df._scratch_path, None) is not None:
+                fs, path = self._hadoop(df._scratch_path)
+                fs.delete(path, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Keep df as the only table."""
+        out = self.keep(df)
+        self.drop(*[t for t in self.live.values() if t is not out])
+        return out
 
     def _hadoop(self, path: str) -> tuple:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+        """Let Spark delete the shuffle files of plans that are done: its cleaner does so once the driver has collected its
+        garbage, which a small heap does by itself, but a large one seldom."""
         gc.collect()
         self.spark._jvm.System.gc()

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (with partial sums in each task) and a join, so no node's neighbours are ever gathered in
-one place. Edges are written to the shared folder after each round.
+Every step is a grouped minimum (with partial minima in each task) and a join of edges with the minima of their nodes. A
+node with a large part of all edges doesn't bring these to one task: the minima of such nodes, of which there can be few,
+are broadcast to the edges where they lie. Edges are written to the shared folder after each round.
 """
 
 from __future__ import annotations
@@ -11,17 +12,27 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+HUBS = 4000  # a hub has at least 1/HUBS of the edges' ends, so there are no more than HUBS
+LEAST = 500
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, bound: int) -> DataFrame:
+    """edges (a, b) with m, the least of a's neighbours and a itself; least: (a, m, n)."""
+    hubs = F.broadcast(least.where(F.col("n") >= bound).select("a", "m"))
+    few = edges.join(hubs.select("a"), "a", "left_anti")
+    return few.join(least.where(F.col("n") < bound).select("a", "m"), "a").union(edges.join(hubs, "a").select("a", "b", "m"))
+
+
+def _large(edges: DataFrame, bound: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("b > a"), least, bound).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, bound: int) -> DataFrame:
     """edges: a > b"""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _with_least(edges, least, bound).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -29,14 +40,14 @@ def components(edges: DataFrame, store: Scratch, a: str = "a", b: str = "b") ->
     """(id, component): for each id in an edge, the smallest id that it is linked to, directly or not. Loops and repeated
     edges do no harm; without edges the result is empty."""
     now = store.keep(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    mark = None
-    while True:
-        after = store.keep(_small(_large(now)))
-        new = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    state = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    mark = state(now)
+    while mark[0]:
+        bound = max(LEAST, 2 * mark[0] // HUBS)
+        after = store.keep(_small(_large(now, bound), bound))
         store.drop(now)
-        now = after
-        if tuple(new) == mark or not new[0]:
+        now, before, mark = after, mark, state(after)
+        if mark == before:
             break
-        mark = tuple(new)
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

@@ -1,6 +1,7 @@
 """The queries against SQL, and the pipeline on planted documents."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -53,9 +54,11 @@ def test_position_is_the_order_of_the_mixture(spark, tmp_path):
     sources: dict = {}
     for i, _, _, source, _ in sorted(rows, key=lambda r: (hashes[r[0]], r[0])):
         sources.setdefault(source, []).append(i)
-    share = mixing.shares({f"s{k}": len(x) ** 0.7 for k, x in sources.items()})
+    weight = {f"s{k}": len(x) ** 0.7 for k, x in sources.items()}
+    total = sum(weight.values())
+    blocks = [(math.floor(j * total / w), math.ceil((j + 1) * total / w), k, j) for k, w in weight.items() for j in range(-(-len(sources[k[1:]]) // mixing.BLOCK))]
     want = []
-    for source, block, _, _, _ in mixing.schedule(share):
+    for _, (_, _, source, block) in sorted(zip(mixing.earliest_first(blocks, 0), blocks, strict=True)):
         want += sources[source[1:]][block * mixing.BLOCK : (block + 1) * mixing.BLOCK]
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

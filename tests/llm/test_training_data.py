@@ -1,9 +1,11 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -338,27 +340,58 @@ def test_compact_windows():
 # --- mixing --------------------------------------------------------------------------------------------------------------
 
 
-def test_schedule_stays_within_a_block():
-    share = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}, 200)
-    assert sum(share.values()) == 200
-    done = dict.fromkeys(share, 0)
-    plan = mixing.schedule(share, 200)
-    assert len(plan) == 200
-    for source, _, release, due, slot in plan:
-        assert release <= slot < due
-        done[source] += 1
-        assert all(abs(done[k] - share[k] / 200 * (slot + 1)) < 1 for k in share)
+def brute_mixture(sizes, weights, block):
+    """Slots of all blocks, one after the other over the whole length, by exact fractions."""
+    total = sum(weights.values())
+    share = {k: Fraction(w, total) for k, w in weights.items()}
+    blocks = [(j / share[k], (j + 1) / share[k], k, j) for k in share for j in range(-(-sizes[k] // block))]
+    return {(k, j): (math.floor(a), math.ceil(b)) for a, b, k, j in blocks}
+
+
+def test_mixture_stays_within_a_block_of_any_weights(spark):
+    weights = {"a": 1_000_000, "b": 2, "c": 333, "d": 250_000, "e": 600_000}
+    sizes = {"a": 4000, "b": 5, "c": 40, "d": 900, "e": 2500}
+    rows = [(i, "t", None, s, 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), weights=weights, block=4, frame=64).collect()
+    want = brute_mixture(sizes, weights, 4)
+    by_slot = {r.slot: (r.source, r.block) for r in got}
+    assert len(got) == len(rows) and len(by_slot) == len(want) and len({r.place for r in got}) == len(rows)
+    near = lambda r: max(abs(r.release - want[r.source, r.block][0]), abs(r.deadline - want[r.source, r.block][1])) <= 1
+    assert all(near(r) and r.release <= r.slot < r.deadline for r in got)
+    # until a source runs out, each has within one block of its share
+    done = dict.fromkeys(weights, 0)
+    total = sum(weights.values())
+    for slot in range(min(max(j for k, j in want if k == s) * total // weights[s] for s in weights)):
+        done[by_slot[slot][0]] += 1
+        assert all(abs(done[k] - Fraction(weights[k] * (slot + 1), total)) < 1 + 1e-6 for k in weights)
+
+
+def test_mixture_of_many_sources(spark):
+    rows = [(i, "t", None, f"s{i % 1500}", 1) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), block=1).collect()
+    assert len(got) == 6000 and sorted(r.slot for r in got) == list(range(6000))
+    assert all(r.release <= r.slot < r.deadline for r in got)
+
+
+def test_sources_without_weight_come_last(spark):
+    rows = [(i, "t", None, ["a", "b", None, "zero"][i % 4], 1) for i in range(400)]
+    got = sorted(mixing.mix(spark.createDataFrame(rows, DOCS), weights={"a": 0.5, "b": 0.25, "zero": 0}, block=4).collect(), key=lambda r: r.place)
+    assert len({r.place for r in got}) == 400
+    assert {r.source for r in got[:200]} == {"a", "b"} and {r.source for r in got[200:]} == {None, "zero"}
 
 
 def test_mix(spark):
-    rows = [(i if i % 50 else None, "t", None, None if i % 7 == 0 else f"s{i % 3 if i % 2 else 0}", 1) for i in range(3000)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("slot", F.lit("clash"))
+    rows = [(i if i % 50 else None, "t", None, None if i % 7 == 0 else f"s{i % 3 if i % 2 else 0}", 1) for i in range(3000)] + [(1, "t", None, "s0", 1)] * 5
+    df = spark.createDataFrame(rows, DOCS).withColumns({"slot": F.lit("clash"), "_key": F.lit(1), "_u": F.lit(2), "_g": F.lit(3)})
     got = mixing.mix(df, block=8, frame=100).collect()
-    assert len(got) == 3000
-    assert len({r.place for r in got}) == 3000
-    assert all(r.release <= r.slot < r.deadline for r in got)
+    assert len(got) == 3005
+    assert len({r.place for r in got}) == 3005
+    assert all(r.release <= r.slot < r.deadline and (r._key, r._u, r._g) == (1, 2, 3) for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
-    assert [r.place for r in mixing.mix(df, block=8, frame=100).orderBy("place").collect()] == sorted(r.place for r in got)
+    assert mixing.ordered(df, block=8).columns == df.columns
+    # places don't depend on how the rows were dealt
+    places = lambda d: sorted((r.place, r.doc_id or -1) for r in mixing.mix(d, block=8, frame=100).collect())
+    assert places(df) == places(df.repartition(7, "n_chars", "text", "doc_id"))
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------------

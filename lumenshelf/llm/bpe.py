@@ -1,9 +1,8 @@
 """Byte-level BPE: encoding and decoding of whole texts.
 
-Pre-tokenisation needs no regex. Code points become classes (letter, number, space, other) through a table; class
-changes give the runs, and the pattern's other rules (a last space joins the next run, contractions after a lone
-apostrophe) change only boundaries next to a run's edge. Each rule's transition function is thus constant after a class
-change, so the scan that joins them is a single pass of array comparisons. Slices are hashed; unseen slices are merged
+Pre-tokenisation needs no regex. Code points become classes (letter, number, blank, other) through a table, and symbols by
+what stands after them. A symbol is a transition function over eight states; an associative scan composes them, for all
+pieces of a batch at once, and tells where tokens begin. Slices are hashed; unseen slices are merged
 together, one merge a round for all of them, and kept in a bounded cache.
 
 Results: text null or empty gives no tokens; ids are little-endian unsigned 32-bit integers in one binary value
@@ -56,39 +55,90 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
+#: Symbols of the scan: what a code point and those after it are. A blank is MID with another blank or the end of the text behind
+#: it; else it is the last of its run, a SPACE or another one (LAST). An apostrophe may begin a contraction of one or two letters.
+MID, SPACE, LAST, ONE_LETTER, TWO_LETTERS, NOTHING = 2, 4, 5, 6, 7, 8
+#: States after a code point: within a run of letters, numbers, blanks or others; a space that the next token takes in; one or two
+#: letters of a contraction to come; a token that is over.
+IN_LETTERS, IN_NUMBERS, IN_BLANKS, IN_OTHERS, HELD_SPACE, LETTER_TO_COME, LETTERS_TO_COME, OVER = range(8)
+STATES = 8
+SCAN = 64
+
+
+def _transitions() -> tuple[np.ndarray, np.ndarray]:
+    """next[symbol, state] and whether a token begins there."""
+    new = {LETTER: IN_LETTERS, NUMBER: IN_NUMBERS, MID: IN_BLANKS, OTHER: IN_OTHERS, SPACE: HELD_SPACE, LAST: OVER, ONE_LETTER: LETTER_TO_COME, TWO_LETTERS: LETTERS_TO_COME}
+    to, begins = np.zeros((NOTHING + 1, STATES), np.uint8), np.zeros((NOTHING + 1, STATES), bool)
+    to[NOTHING] = np.arange(STATES)
+    for symbol, state in new.items():
+        to[symbol], begins[symbol] = state, True
+    others = (OTHER, ONE_LETTER, TWO_LETTERS)
+    goes_on = [(LETTER, IN_LETTERS, IN_LETTERS), (NUMBER, IN_NUMBERS, IN_NUMBERS), (MID, IN_BLANKS, IN_BLANKS), (LETTER, LETTER_TO_COME, OVER), (LETTER, LETTERS_TO_COME, LETTER_TO_COME)]
+    goes_on += [(LETTER, HELD_SPACE, IN_LETTERS), (NUMBER, HELD_SPACE, IN_NUMBERS)] + [(x, s, IN_OTHERS) for x in others for s in (IN_OTHERS, HELD_SPACE)]
+    for symbol, state, then in goes_on:
+        to[symbol, state], begins[symbol, state] = then, False
+    return to, begins
+
+
+NEXT, BEGINS = _transitions()
+
+
+def symbols(cp: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+    n = len(cp)
+    kind = classes()[cp]
+    ends = np.zeros(n, bool)  # the last code point of its text
+    ends[np.r_[doc_start[1:], n] - 1] = True
+    out = kind.copy()
+    after = np.r_[kind[1:], np.uint8(OTHER)]
+    last = (kind == BLANK) & ~ends & (after != BLANK)
+    out[last] = np.where(cp[last] == 32, SPACE, LAST)
+    at = np.flatnonzero((cp == 39) & ~ends)
+    x = cp[at + 1]
+    out[at[np.isin(x, [ord(c) for c in ONE])]] = ONE_LETTER
+    at, x = at[~ends[at + 1]], x[~ends[at + 1]]
+    y = cp[at + 2]
+    for a, b in TWO:
+        out[at[(x == ord(a)) & (y == ord(b))]] = TWO_LETTERS
+    return out
+
+
 def token_starts(cp: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
-    """Indices at which the pre-tokens of texts laid end to end begin. doc_start: of the texts that aren't empty."""
+    """Indices at which the pre-tokens of texts laid end to end begin. doc_start: of the texts that aren't empty.
+
+    Each symbol is a function from the state before to the state after. Functions are composed within pieces of SCAN symbols,
+    all pieces at once; the pieces' functions by doubling (composition is associative); then every piece is gone through with
+    the state that it begins with. A text begins as after a token that is over."""
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64)
-    kind = classes()[cp]
-    new = np.ones(n, bool)
-    new[1:] = kind[1:] != kind[:-1]
-    new[doc_start] = True
-    last_of_doc = np.zeros(n + 1, bool)
-    last_of_doc[doc_start] = True
-    last_of_doc[n] = True
-    start = np.flatnonzero(new)
-    end = np.r_[start[1:], n]
-    run = kind[start]
-    inner = ~last_of_doc[end]
-    token = new
-    gap = np.flatnonzero((run == BLANK) & inner)
-    token[end[gap] - 1] = True
-    token[end[gap[cp[end[gap] - 1] == 32]]] = False
-    lone = (run == OTHER) & (end - start == 1) & (cp[start] == 39) & inner & token[start]
-    lone[:-1] &= run[1:] == LETTER
-    lone = np.flatnonzero(lone)
-    at, size = start[lone], end[lone + 1] - start[lone + 1] if len(lone) else lone
-    x, y = cp[at + 1], cp[np.minimum(at + 2, n - 1)]
-    took = np.where(np.isin(x, [ord(c) for c in ONE]), 1, 0)
-    for a, b in TWO:
-        took[(x == ord(a)) & (y == ord(b)) & (size > 1)] = 2
-    at, size, took = at[took > 0], size[took > 0], took[took > 0]
-    token[at + 1] = False
-    rest = took < size
-    token[at[rest] + 1 + took[rest]] = True
-    return np.flatnonzero(token)
+    seen = symbols(cp, doc_start)
+    pieces = -(-n // SCAN)
+    first = np.zeros(pieces * SCAN, bool)
+    first[doc_start] = True
+    first = np.ascontiguousarray(first.reshape(pieces, SCAN).T)
+    grid = np.full(pieces * SCAN, NOTHING, np.uint8)
+    grid[:n] = seen
+    grid = np.ascontiguousarray(grid.reshape(pieces, SCAN).T)
+    table = NEXT.ravel()
+    base = grid.astype(np.int16) * STATES
+    whole = np.tile(np.arange(STATES, dtype=np.uint8), (pieces, 1))
+    for k in range(SCAN):
+        if first[k].any():
+            whole[first[k]] = OVER
+        whole = table[base[k][:, None] + whole]
+    step = 1
+    while step < pieces:
+        whole[step:] = np.take_along_axis(whole[step:], whole[:-step].astype(np.intp), axis=1)
+        step *= 2
+    state = np.r_[np.uint8(OVER), whole[:-1, OVER]]
+    token = np.zeros((SCAN, pieces), bool)
+    begins = BEGINS.ravel()
+    for k in range(SCAN):
+        state = np.where(first[k], np.uint8(OVER), state)
+        at = base[k] + state
+        token[k] = begins[at]
+        state = table[at]
+    return np.flatnonzero(token.T.ravel()[:n])
 
 
 class Merger:

@@ -175,12 +175,18 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by key, whole, place: rows whose bytes the row before has too (copy), and first rows of those bytes whose key
         has other bytes as well."""
-        last: tuple | None = None  # key and whole of the row before
+        last: tuple | None = None  # key, whole, document and start of the row before
         held, known = None, None  # a first row that may be alone with its key; a key that isn't
         for batch in batches:
-            key, whole = batch["key"].to_numpy(), batch["whole"].to_numpy()
-            same = np.r_[last is not None and (key[0], whole[0]) == last, (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])]
-            last = key[-1], whole[-1]
+            cols = [batch[c].to_numpy() for c in ("key", "whole", "doc", "start")]
+            equal_to_last = [np.r_[last is not None and x[0] == last[i], x[1:] == x[:-1]] for i, x in enumerate(cols)]
+            last = tuple(x[-1] for x in cols)
+            repeated = equal_to_last[0] & equal_to_last[1] & equal_to_last[2] & equal_to_last[3]  # a row of the table is there twice
+            if repeated.any():
+                batch = batch.filter(pa.array(~repeated))
+                if not len(batch):
+                    continue
+            same = (equal_to_last[0] & equal_to_last[1])[~repeated]
             copies = batch.filter(pa.array(same)).drop_columns(["whole"])
             yield copies.append_column("copy", pa.array(np.ones(len(copies), bool)))
             firsts = batch.filter(pa.array(~same)).drop_columns(["whole"])

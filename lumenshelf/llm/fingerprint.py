@@ -117,7 +117,8 @@ def with_edits(df: DataFrame, per_range: int = 2000, doc_id: str = "doc_id", tex
         return spark.createDataFrame([], SCHEMA)
     parts = max(1, min(20000, n // per_range))
     ids = rows.select(key.cast("double").alias("k"))
-    cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts if parts < 1000 else 1e-4)}) if parts > 1 else []
+    # quantiles are doubles: near the ends of 64 bits they are held within them; any cuts do
+    cuts = sorted({max(-(2**63), min(2**63 - 1, int(x))) for x in ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts if parts < 1000 else 1e-4)}) if parts > 1 else []
     cut_table = spark.sparkContext.broadcast(np.array(cuts, np.int64))
 
     @F.pandas_udf("long")

@@ -3,8 +3,8 @@
 Per host, the segments of paths grow a tree, level by level. At each node, segments that vary (that hold a digit, or whose
 node has many distinct ones, mostly seen once or twice) become the wildcard `*`, their file extension kept; what lies
 deeper than LEVELS segments is one `**`. Pages that rules cover are the labelled ones. A template whose share of blocked
-pages does not differ significantly from that of its siblings together (same parent below the host's root) is merged with
-them; its blocked share, smoothed towards the share among all labelled pages, rejects it above one half.
+pages does not differ significantly from that of its siblings together (same parent) is merged with them; its blocked share,
+smoothed towards the host's, which is smoothed towards the share among all labelled pages, rejects it above one half.
 
 Results: url null or without `://`: host and path empty, no rule, judged by the method's prior. Every page has a verdict.
 Repeated rows and null ids are judged like others.
@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 LEVELS = 4
 MANY, VARIED = 16, 0.5
 STRENGTH, Z = 2.0, 1.96
+HOSTS, HOT, SALTS = 1000, 1000, 16
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -40,46 +43,65 @@ def _rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """pages has host and path; adds `template` and `parent`."""
+def templates(paths: DataFrame) -> DataFrame:
+    """paths: host, path (each pair once) and n, the pages of it. Adds `template` and `parent`.
+
+    Each level joins a host's paths with what is known of its nodes. Hosts with at least 1/HOSTS of all paths, of which there
+    are no more than HOSTS, are dealt by path too, so they don't come to one task."""
+    total = paths.agg(F.count(F.lit(1))).first()[0]
+    hosts = paths.groupBy("host").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= max(HOT, total // HOSTS)).select("host", F.lit(SALTS).alias("salts"))
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    now = pages.withColumns({"_parts": parts, "template": F.lit(""), "parent": F.lit("")})
+    salts = F.coalesce("salts", F.lit(1))
+    now = paths.join(F.broadcast(hosts), "host", "left").withColumns({"parts": parts, "template": F.lit(""), "parent": F.lit(""), "salts": salts, "salt": F.pmod(F.xxhash64("path"), salts).cast("int")})
     for level in range(LEVELS):
-        seg = F.get("_parts", F.lit(level))
-        now = now.withColumn("_seg", seg)
-        leaves = now.where(F.col("_seg").isNotNull()).groupBy("host", "template", "_seg").agg(F.count(F.lit(1)).alias("_n"))
-        nodes = leaves.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_pages"))
-        varied = (F.col("_distinct") >= MANY) & (F.col("_distinct") >= VARIED * F.col("_pages"))
-        general = F.when(F.col("_seg").rlike("[0-9]") | varied, F.concat(F.lit("*"), F.regexp_extract("_seg", r"(\.[A-Za-z]+)$", 1))).otherwise(F.col("_seg"))
-        now = now.join(nodes, ["host", "template"], "left").withColumn("_next", F.concat("template", F.lit("/"), general))
-        deeper = F.col("_seg").isNotNull()
-        now = now.withColumns({"parent": F.when(deeper, F.col("template")).otherwise(F.col("parent")), "template": F.when(deeper, F.col("_next")).otherwise(F.col("template"))}).drop("_distinct", "_pages", "_next", "_seg")
-    more = F.size("_parts") > LEVELS
+        now = now.withColumn("seg", F.get("parts", F.lit(level)))
+        leaves = now.where(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"), F.max("salts").alias("s"))
+        nodes = leaves.groupBy("host", "template").agg(F.count(F.lit(1)).alias("distinct"), F.sum("seg_n").alias("pages"), F.max("s").alias("s"))
+        nodes = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).drop("s")
+        varied = (F.col("distinct") >= MANY) & (F.col("distinct") >= VARIED * F.col("pages"))
+        general = F.when(F.col("seg").rlike("[0-9]") | varied, F.concat(F.lit("*"), F.regexp_extract("seg", r"(\.[A-Za-z]+)$", 1))).otherwise(F.col("seg"))
+        now = now.join(nodes, ["host", "template", "salt"], "left").withColumn("next", F.concat("template", F.lit("/"), general))
+        deeper = F.col("seg").isNotNull()
+        now = now.withColumns({"parent": F.when(deeper, F.col("template")).otherwise(F.col("parent")), "template": F.when(deeper, F.col("next")).otherwise(F.col("template"))}).drop("distinct", "pages", "next", "seg")
+    more = F.size("parts") > LEVELS
     now = now.withColumns({"parent": F.when(more, F.col("template")).otherwise(F.col("parent")), "template": F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))})
-    return now.drop("_parts")
+    return now.drop("parts", "salt", "salts")
 
 
-def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """All columns, with host, path, rule, verdict, template and purity (the template's smoothed blocked share). Columns of
-    these names are replaced."""
-    host, path = host_and_path(url)
-    kept = df.drop("host", "path", "rule", "verdict", "template", "parent", "purity")
-    parsed = kept.withColumns({"host": host, "path": path})
-    rule, given = _rule(rules)
-    parsed = templates(parsed.withColumns({"rule": rule, "_given": given}))
-    labels = parsed.groupBy("host", "parent", "template").agg(F.count("_given").alias("n"), F.count(F.when(F.col("_given") == "block", 1)).alias("b"))
+def purity(paths: DataFrame) -> DataFrame:
+    """paths: host, parent, template, n_given and n_blocked. (host, parent, template, purity).
+
+    A template that doesn't differ significantly from its siblings together takes their counts; they are smoothed towards the
+    share of the whole host, and that towards the share of all."""
+    labels = paths.groupBy("host", "parent", "template").agg(F.sum("n_given").alias("n"), F.sum("n_blocked").alias("b"))
     pooled = labels.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+    of_host = pooled.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("pb").alias("hb"))
     blocked, labelled = labels.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     prior = (blocked + 0.5) / (labelled + 2)
-    both = labels.join(pooled, ["host", "parent"])
+    both = labels.join(pooled.join(of_host, "host"), ["host", "parent"])
     share = F.col("pb") / F.greatest(F.col("pn"), F.lit(1))
     gap = F.abs(F.col("b") - F.col("n") * share)
-    merged = (F.col("parent") != "") & (gap * gap <= Z * Z * F.col("n") * share * (1 - share))
+    merged = gap * gap <= Z * Z * F.col("n") * share * (1 - share)
     b, n = F.when(merged, F.col("pb")).otherwise(F.col("b")), F.when(merged, F.col("pn")).otherwise(F.col("n"))
-    purity = both.select("host", "parent", "template", ((b + STRENGTH * prior) / (n + STRENGTH)).alias("purity"))
-    judged = parsed.join(purity, ["host", "parent", "template"], "left")
-    verdict = F.coalesce("_given", F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
-    return judged.select(*kept.columns, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    host = (F.col("hb") + STRENGTH * prior) / (F.col("hn") + STRENGTH)
+    return both.select("host", "parent", "template", ((b + STRENGTH * host) / (n + STRENGTH)).alias("purity"))
+
+
+def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """All columns, with host, path, rule, verdict, template and purity (the template's smoothed blocked share). Columns of
+    these names are replaced. The tree is grown over distinct addresses, and joined back to the pages once."""
+    host, path = host_and_path(url)
+    kept = df.drop("host", "path", "rule", "verdict", "template", "purity")
+    (given,) = fresh(kept, "_given")
+    parsed = kept.withColumns({"host": host, "path": path})
+    rule, what = _rule(rules)
+    parsed = parsed.withColumns({"rule": rule, given: what})
+    paths = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("n_given"), F.count(F.when(F.col(given) == "block", 1)).alias("n_blocked"))
+    tree = templates(paths)
+    found = tree.join(purity(tree), ["host", "parent", "template"], "left").select("host", "path", "template", "purity")
+    judged = parsed.join(found, ["host", "path"], "left")
+    verdict = F.coalesce(given, F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
+    return judged.select(*(F.col(f"`{c}`") for c in kept.columns), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def _level(k: int) -> str:
@@ -116,9 +138,11 @@ done AS (SELECT page_id, host, path, rule, given,
 labelled AS (SELECT host, parent, template, count(given) AS n, count(*) FILTER (given = 'block') AS b FROM done GROUP BY ALL),
 pooled AS (SELECT host, parent, sum(n) AS pn, sum(b) AS pb FROM labelled GROUP BY ALL),
 prior AS (SELECT (coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 2) AS prior FROM labelled),
-rates AS (SELECT l.*, pn, pb, prior, pb::DOUBLE / greatest(pn, 1) AS share FROM labelled l JOIN pooled USING (host, parent), prior),
-tested AS (SELECT *, parent <> '' AND abs(b - n * share) * abs(b - n * share) <= {Z * Z} * n * share * (1 - share) AS merged FROM rates),
-purity AS (SELECT host, parent, template, (CASE WHEN merged THEN pb ELSE b END + {STRENGTH} * prior) / (CASE WHEN merged THEN pn ELSE n END + {STRENGTH}) AS purity FROM tested)
+hosts AS (SELECT host, sum(pn) AS hn, sum(pb) AS hb FROM pooled GROUP BY ALL),
+rates AS (SELECT l.*, pn, pb, (hb + {STRENGTH} * prior) / (hn + {STRENGTH}) AS host_share, pb::DOUBLE / greatest(pn, 1) AS share
+  FROM labelled l JOIN pooled USING (host, parent) JOIN hosts USING (host), prior),
+tested AS (SELECT *, abs(b - n * share) * abs(b - n * share) <= {Z * Z} * n * share * (1 - share) AS merged FROM rates),
+purity AS (SELECT host, parent, template, (CASE WHEN merged THEN pb ELSE b END + {STRENGTH} * host_share) / (CASE WHEN merged THEN pn ELSE n END + {STRENGTH}) AS purity FROM tested)
 SELECT page_id, d.host, path, rule, coalesce(given, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM done d LEFT JOIN purity p ON p.host = d.host AND p.parent = d.parent AND p.template = d.template
 """

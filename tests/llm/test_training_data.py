@@ -125,6 +125,19 @@ def test_fingerprints(spark, corpus):
     assert fingerprint.with_edits(df.limit(1)).count() == 1
 
 
+def test_fingerprints_of_large_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    ids = [2**63 - 1, 2**63 - 2, 2**63 - 3, -(2**63), -5, 2**53 + 1, 2**53 + 2, 7, 7, None]
+    df = frame(spark, [" ".join(words(rng, 40)) for _ in ids], ids).withColumns({"g": F.lit(1), "t": F.lit(2), "k": F.lit(3)})
+    got = fingerprint.with_edits(df, per_range=2).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i in ids)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    by_id = {r.doc_id: r for r in got}
+    for a, b in [(2**63 - 1, 2**63 - 2), (2**63 - 2, 2**63 - 3), (2**53 + 2, 2**53 + 1)]:
+        k = len(texts[a]) // 3
+        assert by_id[a].edited_sha256 == hashlib.sha256((texts[a][: len(texts[a]) - k] + texts[b][:k]).encode()).hexdigest()
+
+
 def test_sketches_estimate():
     rng = random.Random(1)
     a = words(rng, 20000)
@@ -188,6 +201,15 @@ def test_bwt(spark, corpus):
     assert bwt.remove_repeats(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_bwt_of_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(6)
+    t, u = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    df = spark.createDataFrame([(1, t), (1, t), (2, u), (3, t + u), (None, t)], "doc_id long, text string").withColumns({"doc": F.lit(1), "t": F.lit(2), "_s": F.lit(3)})
+    got = sorted((r.doc_id or 0, r.n_removed) for r in bwt.remove_repeats(df).collect())
+    want = {i: n for i, (_, n, _, _) in brute_repeats([None, t, u, t + u]).items()}
+    assert got == sorted([(0, 0), (1, 0), (1, 0), (2, 0), (3, want[3])])
+
+
 def test_merged_transforms_group_equal_prefixes():
     rng = random.Random(2)
     segments = [(i, 0, bytes(rng.choice(b"ab") for _ in range(rng.randrange(20, 60)))) for i in range(200)]
@@ -276,6 +298,8 @@ def test_passages_find_every_verbatim_repeat(spark, corpus):
     cut = {r.doc_id: r.text for r in passages.cut_passages(df).collect()}
     assert 20 not in cut and cut[3] == corpus[3] and None in cut.values()
     assert passages.by_document(df.limit(0)).count() == 0
+    clash = frame(spark, [corpus[0], corpus[20], corpus[0], None], [1, 2, 2, None]).withColumns({"doc": F.lit(1), "_spans": F.lit(2), "_raw": F.lit(3)})
+    assert sorted((r.doc_id or 0, r.doc, r._spans, r._raw) for r in passages.cut_passages(clash).collect()) == [(0, 1, 2, 3), (1, 1, 2, 3)]
 
 
 def edited(rng, text, every):
@@ -432,3 +456,18 @@ def test_urls(spark):
     assert got[8].template == "/de/*.html" and got[9].template == "/a/b/c/d/**"
     assert all(r.verdict in ("allow", "block") for r in got.values())
     assert urltree.judge(df.limit(0)).count() == 0
+
+
+def test_similar_branches_share_their_labels(spark):
+    """Branches without labels take those of their siblings, of all of the host where those have none, of all hosts at last."""
+    rows = [f"http://a.com/de/{w}" for w in "abcdefgh"] + ["http://a.com/de/x/y"] * 3 + ["http://a.com/en/p", "http://a.com/en/q/r", "http://b.net/x", *(f"http://c.com/fr/{w}" for w in "abc"), "http://c.com/es/a"] + [None, None]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumns({"_seg": F.lit(1), "_parts": F.lit(2), "n": F.lit(3), "parent": F.lit(4), "_given": F.lit(5)})
+    got = {r.page_id: r for r in urltree.judge(df).collect()}
+    assert len(got) == len(rows) and all((r._seg, r._parts, r.n, r.parent, r._given) == (1, 2, 3, 4, 5) for r in got.values())
+    verdicts = {rows[i]: r.verdict for i, r in got.items()}
+    assert verdicts["http://a.com/en/p"] == verdicts["http://a.com/en/q/r"] == "block"
+    assert verdicts["http://c.com/es/a"] == "allow"
+    prior = (11 + 0.5) / (14 + 2)
+    host = (11 + 2 * prior) / (11 + 2)
+    assert abs(got[11].purity - (0 + 2 * host) / 2) < 1e-9 and got[0].purity == got[3].purity
+    assert abs(next(r for i, r in got.items() if rows[i] == "http://b.net/x").purity - prior) < 1e-9

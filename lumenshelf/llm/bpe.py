@@ -315,7 +315,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         tool = merger(ranks)
         for batch in small(batches):
             raw = [x or b"" for x in batch.column(spot).to_pylist()]
-            for a, b in row_chunks(raw, 1 << 21):
+            for a, b in row_chunks(raw, 1 << 19):
                 ids, n = tool.encode([x.decode("utf-8", "replace") for x in raw[a:b]])
                 data = ids.astype("<u4").tobytes()
                 ends = np.cumsum(n) * 4
@@ -337,7 +337,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "de
         tool = merger(ranks)
         for batch in small(batches):
             raw = [x or b"" for x in batch.column(spot).to_pylist()]
-            for a, b in row_chunks(raw, 1 << 21):
+            for a, b in row_chunks(raw, 1 << 19):
                 flat = np.frombuffer(b"".join(raw[a:b]), "<u4").astype(np.int64)
                 n = np.fromiter((len(x) // 4 for x in raw[a:b]), np.int64, b - a)
                 edge = np.r_[0, np.cumsum(tool.size[flat])][np.r_[0, np.cumsum(n)]].tolist()

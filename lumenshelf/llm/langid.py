@@ -68,7 +68,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
         for batch in small(batches):
             raw = [x or b"" for x in batch.column(0).to_pylist()]
             tag = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
-            for a, b in row_chunks(raw, 1 << 20):
+            for a, b in row_chunks(raw, 1 << 18):
                 bucket, row = grams(raw[a:b])
                 total += np.bincount(tag[a + row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         one, two = np.nonzero(total)
@@ -95,7 +95,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
         for batch in small(batches):
             raw = [x or b"" for x in batch.column(len(kept)).to_pylist()]
             best, score = np.full(len(raw), -1), np.zeros(len(raw))
-            for a, b in row_chunks(raw, 1 << 20) if k else []:
+            for a, b in row_chunks(raw, 1 << 18) if k else []:
                 bucket, row = grams(raw[a:b])
                 n = np.bincount(row, minlength=b - a)
                 like = np.stack([np.bincount(row, weights=table[bucket, j], minlength=b - a) for j in range(k)], axis=1)

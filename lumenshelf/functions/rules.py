@@ -45,9 +45,16 @@ SUBCATEGORY: Rules = [
     ("4-piece", "4-piece|four piece|4 piece|4pc|4-pc"), ("3-piece", "3-piece|3piece|three-piece|3 piece|3pc|3-pc|shirt trouser dupatta|shirt & trouser & dupatta"),
     ("2-piece", "2-piece|2piece|two-piece|2 piece|2pc|2-pc|shirt & trouser|shirt and trouser|shirt trouser"), ("kurta", "kurti|kameez|1-piece|one piece|1 piece|shirt only|1pc"),
     ("pants", "trousers only|bottoms only|palazzo only|cigarette pant|pant only"), ("shalwar", "shalwar only|salwar only"), ("dupatta", "dupatta only|stole only|shawl only"),
+    ("unstitched-3-piece", "unstitched 3-piece|un-stitched 3 piece|unstitched three piece|unstitched 3 piece|unstitched 3pc"), ("unstitched-2-piece", "unstitched 2-piece|un-stitched 2 piece|unstitched 2 piece|unstitched 2pc"),
+    ("unstitched-1-piece", "unstitched 1-piece|unstitched shirt only|unstitched 1 piece"),
     ("western", "western wear|jeans|denim|hoodie|sweatshirt|t-shirt|tshirt"), ("co-ord", "co-ord|coord set|co ord|coordinated set|matching set|two piece set|2 piece set"),
     ("bridal", "bridal couture|bridal collection|bridal wear|wedding dress|bride"), ("festive", "wedding wear|luxury formal|heavy embroidered|chikankari formal|festive wear"),
 ]
+#: Dress styles that a title is trusted for.
+TITLE_STYLES: Rules = [
+    ("saree", "saree|sari"), ("lehenga", "lehenga|lehnga|lehenga choli|sharara|gharara"), ("abaya", "abaya"), ("gown", "floor length gown|evening gown|gown"), ("maxi", "maxi dress|maxi frock|maxi gown|maxi"),
+    ("frock", "frock|a-line frock"), ("palazzo", "palazzo"),
+]
 #: Sub-category -> piece type, stitching, garments, dress style.
 COMPOSITION = {
     "2-piece": ("2-piece", "stitched", "shirt trouser", "shalwar-kameez"), "3-piece": ("3-piece", "stitched", "shirt trouser dupatta", "shalwar-kameez"), "4-piece": ("4-piece", "stitched", "shirt trouser dupatta inner", "shalwar-kameez"),

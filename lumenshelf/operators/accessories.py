@@ -30,12 +30,29 @@ JEWELRY: rules.Rules = [
     ("bridal-set", "bridal set|jewelry set|jewellery set"), ("anklet", "anklet|payal"), ("brooch", "brooch"), ("cufflinks", "cufflink"),
 ]
 WORN = [("ear", "earring|stud|hoop|jhumka|chandbali"), ("neck", "necklace|choker|mala|pendant"), ("wrist", "bangle|bracelet|kada"), ("hand", "ring|cufflink"), ("head", "nath|tikka|jhoomar"), ("bridal-set", "set")]
-#: Names of other verticals.
-FOOTWEAR = "sandals?|slippers?|khussa|pumps?|sneakers?|shoes?|boots?|loafers?|mules?|wedges?|footwear"
-CLOTHES = "scarf|shawl|stole|shirt|kurta|kurti|dupatta|suit|trousers?|rtw|rts|pret|khaddar|abaya|hijab|saree|lehenga|kameez|shalwar|salwar|waistcoat|jacket|coat|frock|tunic|blouse"
-BAGS = "bags?|clutch|purses?|wallet|backpack|tote|handbag|satchel|pouch|belts?|perfume|fragrance|lipstick|makeup"
-NOT_JEWELRY = rf"\b({FOOTWEAR}|heels?|chappals?|kolhapuri|peshawari|joggers?|court\s*shoe|flip[-\s]?flop|{BAGS}|{CLOTHES}|qameez|pants?|pajama|pyjama|sherwani|maxi|gown|culotte|nail\s*polish|sunglass(es)?|watch|watches)\b"
-NOT_WATCHES = rf"\b({FOOTWEAR}|{BAGS}|{CLOTHES}|scarves|piece|lawn|earrings?|necklace|bangles?)\b"
+#: Words in names that aren't jewelry: footwear, bags, clothes, beauty and others.
+NOT_JEWELRY_WORDS = [
+    "sandal", "sandals", "slipper", "slippers", "chappal", "chappals", "khussa", "kolhapuri", "peshawari", "heel", "heels", "pump", "pumps", "sneaker", "sneakers", "jogger", "joggers", "shoe", "shoes", "boot", "boots",
+    "loafer", "loafers", "mule", "mules", "wedge", "wedges", "court shoe", "flip flop", "footwear",
+    "bag", "bags", "clutch", "purse", "purses", "wallet", "backpack", "tote", "handbag", "satchel", "pouch", "belt", "belts",
+    "kurta", "kurti", "shirt", "trouser", "trousers", "dupatta", "shawl", "stole", "scarf", "abaya", "hijab", "suit", "saree", "lehenga", "kameez", "qameez", "shalwar", "salwar", "waistcoat", "jacket", "coat", "pant", "pants",
+    "pajama", "pyjama", "sherwani", "frock", "tunic", "maxi", "gown", "blouse", "culotte", "rtw", "rts", "pret", "khaddar",
+    "perfume", "fragrance", "lipstick", "makeup", "nail polish", "sunglass", "sunglasses", "watch", "watches",
+]
+#: Words in names that aren't watches.
+NOT_WATCH_WORDS = [
+    "sandal", "sandals", "slipper", "slippers", "khussa", "pump", "pumps", "sneaker", "sneakers", "shoe", "shoes", "boot", "boots", "loafer", "loafers", "mule", "mules", "wedge",
+    "wedges", "footwear", "bag", "bags", "clutch", "purse", "wallet", "backpack", "tote", "handbag", "satchel", "scarf", "scarves", "shawl", "stole", "shirt", "kurta", "kurti",
+    "dupatta", "suit", "trouser", "trousers", "piece", "pret", "rtw", "rts", "khaddar", "lawn", "abaya", "hijab", "saree", "lehenga", "kameez", "shalwar", "salwar", "waistcoat",
+    "jacket", "coat", "frock", "tunic", "blouse", "perfume", "fragrance", "lipstick", "makeup", "earring", "earrings", "necklace", "bangle", "bangles",
+]
+
+
+def _whole_words(words: list[str]) -> str:
+    """A pattern of whole words; a blank between two may be a hyphen or missing."""
+    return r"\b(" + "|".join(w.replace(" ", r"[-\s]?") for w in words) + r")\b"
+
+
 WATCH = [
     ("smartwatch", r"smart\s*watch|apple watch|wear os|bluetooth call"), ("chronograph", "chronograph"), ("digital", "digital|led display"), ("couple-set", "couple|his and her|pair set"), ("kids", "kids|children"),
     ("diver-style", "diver|200m|100m water"), ("minimalist", "minimal|slim profile"), ("dress", "dress|formal watch"), ("sports", "sport|stopwatch"),
@@ -103,7 +120,7 @@ def jewelry(raw: DataFrame) -> DataFrame:
     metal = by_pattern(F.col("_blob"), [("gold-plated", "gold[- ]plated"), ("rose-gold", "rose gold"), ("silver", "silver"), ("gold", "gold"), ("oxidised", "oxidi[sz]ed"), ("brass", "brass")], "other")
     stone = by_pattern(F.col("_blob"), [("kundan", "kundan"), ("polki", "polki"), ("zircon", "zircon|cubic"), ("pearl", "pearl"), ("crystal", "crystal"), ("stone", "stone")], "none")
     pieces = F.regexp_extract("_blob", r"\b(?:set of (\d+))", 1).try_cast("int")
-    bad = [(F.col("_t").rlike(NOT_JEWELRY), "not jewelry"), (F.col("_blob").rlike("unstitched|lawn suit|kurta fabric|bedsheet"), "not jewelry")]
+    bad = [(F.col("_t").rlike(_whole_words(NOT_JEWELRY_WORDS)), "not jewelry"), (F.col("_blob").rlike("unstitched|lawn suit|kurta fabric|bedsheet"), "not jewelry")]
     return _out(s.withColumns({"metal_finish": metal, "stone_work": stone, "set_piece_count": pieces, "reject": _reject(bad)}))
 
 
@@ -112,5 +129,5 @@ def watches(raw: DataFrame) -> DataFrame:
     b = F.col("_blob")
     told = F.when(b.rlike(r"\b(men|mens|gents)\b"), "men").when(b.rlike(r"\bkids\b"), "kids").when(b.rlike(r"\b(women|ladies)\b"), "women").otherwise("unisex")
     size = F.regexp_extract(b, r"(\d{2})\s*mm\b", 1).try_cast("int")
-    bad = [(b.rlike("unstitched|lawn suit|kurta|dupatta|bedsheet|perfume") | F.col("_t").rlike(NOT_WATCHES), "not a watch")]
+    bad = [(b.rlike("unstitched|lawn suit|kurta|dupatta|bedsheet|perfume") | F.col("_t").rlike(_whole_words(NOT_WATCH_WORDS)), "not a watch")]
     return _out(s.withColumns({"gender": F.coalesce("gender", told), "watch_type": by_pattern(b, WATCH, "analog"), "strap_type": by_pattern(b, STRAP, "other"), "movement": by_pattern(b, MOVEMENT, "quartz"), "water_resistance": by_pattern(b, WATER, "unknown"), "case_diameter_mm": size, "reject": _reject(bad)}))

@@ -32,7 +32,7 @@ def normalize(raw: DataFrame, compat: bool = False) -> DataFrame:
     fixed = F.col("_sub").isin("pants", "shalwar", "dupatta", "co-ord", "western", "bridal", "festive")
     s = s.withColumn("sub_category", F.when(n.isNotNull() & ~fixed, suit).otherwise(F.col("_sub")))
     tone = color.infer(F.array_join(have("variant_options", empty), " "), "name", F.array_join("tags", " "), "description")
-    dress = F.coalesce(rules.first_match(F.col("_t"), [("saree", "saree|sari"), ("lehenga", "lehenga|lehnga"), ("abaya", "abaya"), ("frock", "frock|maxi|gown"), ("sherwani", "sherwani"), ("kurta", "kurta|kurti")], compat), rules.composition(F.col("sub_category"), 3))
+    dress = F.coalesce(rules.first_match(F.col("_t"), rules.TITLE_STYLES, compat), rules.composition(F.col("sub_category"), 3))
     t = F.col("_blob")
     s = s.withColumns({
         "_tone": tone,

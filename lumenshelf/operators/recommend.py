@@ -172,11 +172,24 @@ def watch_score(color_fit: Column, watch_occasion: Column, watch_type: Column, w
     return F.round(color_fit * 0.45 + occasion + bonus, 3)
 
 
-def best_partner(left: DataFrame, right: DataFrame, key: str, partner: str, score: Column, condition: Column | None = None, k: int = 1) -> DataFrame:
-    """The k best rows of a small pool (right) for each row of left; ties by partner id. right is a pool of bounded size."""
-    pairs = left.join(F.broadcast(right), condition) if condition is not None else left.crossJoin(F.broadcast(right))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), partner)
-    return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+CLASSES = 10_000
+
+
+def best_partner(left: DataFrame, right: DataFrame, key: str, partner: str, score: Column, by: tuple[list[str], list[str]], k: int = 1) -> DataFrame:
+    """The k best rows of right for each row of left; ties by partner id. The score depends on the columns `by` (of left, of
+    right) only, so classes of equal ones are scored, never pairs of rows: of each class of right its k first rows can be among
+    the best. right may have CLASSES classes (checked); left is joined by class."""
+    mine, theirs = by
+    first = right.withColumn("_k", F.row_number().over(Window.partitionBy(*theirs).orderBy(partner))).where(F.col("_k") <= k).select(partner, *theirs)
+    if first.select(*theirs).distinct().limit(CLASSES + 1).count() > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
+    scored = left.select(*mine).distinct().crossJoin(F.broadcast(first)).withColumn("score", score)  # classes by classes x k
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*mine).orderBy(F.desc("score"), partner))).where(F.col("rank") <= k)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in mine]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return left.alias("l").join(best.alias("b"), on).select("l.*", *(f"b.{c}" for c in [partner, *theirs, "score", "rank"]))
 
 
 def greedy_unique(scored: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
@@ -212,7 +225,7 @@ def complete(df: DataFrame, hero: DataFrame, key: str, limit: int = 5) -> DataFr
     colour. df is joined by gender, so candidates of other genders are never paired."""
     h = hero.select(F.col(key).alias("hero_id"), F.explode(F.array("gender", F.lit("unisex"))).alias("gender"), F.col("price").alias("hero_price"), F.col("primary_color").alias("hero_color")).distinct()
     pool = df.where(~F.col("in_stock").eqNullSafe(F.lit(False)))
-    pairs = pool.join(F.broadcast(h), "gender").where((F.col(key) != F.col("hero_id")) & (F.col("price") <= 1.4 * F.col("hero_price")))
+    pairs = pool.join(h, "gender").where((F.col(key) != F.col("hero_id")) & (F.col("price") <= 1.4 * F.col("hero_price")))
     w = Window.partitionBy("hero_id").orderBy(F.desc("score"), key)
     scored = pairs.withColumn("score", F.round(color.compatibility("hero_color", "primary_color"), 3))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

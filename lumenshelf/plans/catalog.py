@@ -82,16 +82,16 @@ def rrf_full_vs_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round({COSINE} * 0.5 + CASE WHEN e.label = q.label THEN 0.75 ELSE 0.5 END * 0.2 + 0.4 * 0.2 + 0.4 * 0.1, 3) AS score
-  FROM embeddings e JOIN embeddings q ON q.vec_id < 20 AND q.vec_id <> e.vec_id),
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 3""")
 def pair_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    heroes = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
+    heroes = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
     tone = lambda c: F.array(F.concat(F.lit("c"), F.col(c).cast("string")))
     none = F.array().cast("array<string>")
     score = recommend.product_score(vector.cosine("embedding", "q"), tone("label"), tone("ql"), none, none, none, none)
-    pairs = e.join(F.broadcast(heroes), F.col("vec_id") != F.col("query_id")).withColumn("score", score)
+    pairs = e.join(heroes, F.col("vec_id") != F.col("query_id")).withColumn("score", score)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "vec_id", "score", "rank")
 
@@ -288,14 +288,14 @@ def color_compat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     dresses = p.where("type = 'LARGE'").select(F.col("id").alias("dress"), F.col("primary_color").alias("dc"), F.col("occasion").alias("do"))
     pool = p.where("type = 'PROMO' and price < 950").select(F.col("id").alias("other"), F.col("primary_color").alias("sc"), F.col("occasion").alias("so"))
     score = recommend.footwear_score(F.col("dc"), F.col("sc"), F.col("do"), F.col("so"), F.lit("large"), F.lit("promo"))
-    return recommend.best_partner(dresses, pool, "dress", "other", score, k=2).select("dress", "other", "score", "rank")
+    return recommend.best_partner(dresses, pool, "dress", "other", score, (["dc", "do"], ["sc", "so"]), k=2).select("dress", "other", "score", "rank")
 
 
 @query()
 def greedy_unique_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = products(spark, sf_dir).where("id < 400")
-    left = p.where("type = 'LARGE'").select((F.col("id") % 10).alias("request"), F.col("id").alias("dress"), F.col("primary_color").alias("dc"))
-    right = p.where("type = 'PROMO'").select((F.col("id") % 10).alias("request"), F.col("id").alias("shoe"), F.col("primary_color").alias("sc"), "price")
+    p = products(spark, sf_dir)  # a hundred listings a request
+    left = p.where("type = 'LARGE'").select(F.floor(F.col("id") / 100).alias("request"), F.col("id").alias("dress"), F.col("primary_color").alias("dc"))
+    right = p.where("type = 'PROMO'").select(F.floor(F.col("id") / 100).alias("request"), F.col("id").alias("shoe"), F.col("primary_color").alias("sc"), "price")
     scored = left.join(right, "request").withColumn("score", F.round(color.compatibility("dc", "sc") + F.col("price") / 100000, 6))
     return recommend.greedy_unique(scored, "request", "dress", "shoe", "score")
 
@@ -317,11 +317,11 @@ def diversity_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_products(f""", pairs(a, b, s) AS (VALUES {PAIRS}), s AS (SELECT h.id AS hero_id, p.id, round(s, 3)::DOUBLE AS score FROM products h JOIN products p
-  ON p.in_stock IS DISTINCT FROM false AND p.gender = h.gender AND p.id <> h.id AND p.price <= 1.4 * h.price JOIN pairs ON a = h.primary_color AND b = p.primary_color WHERE h.id < 30),
+  ON p.in_stock IS DISTINCT FROM false AND p.gender = h.gender AND p.id <> h.id AND p.price <= 1.4 * h.price JOIN pairs ON a = h.primary_color AND b = p.primary_color WHERE h.id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY hero_id ORDER BY score DESC, id) AS rank FROM s) SELECT hero_id, id, score, rank FROM r WHERE rank <= 5"""))
 def outfit_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = products(spark, sf_dir)
-    return recommend.complete(p, p.where("id < 30"), "id").select("hero_id", "id", "score", "rank")
+    return recommend.complete(p, p.where("id % 50 = 0"), "id").select("hero_id", "id", "score", "rank")
 
 
 # --- relaxation --------------------------------------------------------------------------------------------------------
@@ -457,10 +457,10 @@ def semi_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH all_ids AS (SELECT p_partkey AS id, p_name AS name, 0 AS pos FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT c_custkey, c_name, 2 FROM customer)
-SELECT id, arg_min(name, pos) AS name, min(pos)::INT AS pos FROM all_ids WHERE id < 200 GROUP BY id""")
+SELECT id, arg_min(name, pos) AS name, min(pos)::INT AS pos FROM all_ids GROUP BY id""")
 def find_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda t, k, n, at: table(spark, sf_dir, t).select(F.col(k).cast("long").alias("id"), F.col(n).alias("name"), F.lit(at).alias("pos"))
-    rows = one("part", "p_partkey", "p_name", 0).where("id % 3 = 0").union(one("supplier", "s_suppkey", "s_name", 1)).union(one("customer", "c_custkey", "c_name", 2)).where("id < 200")
+    rows = one("part", "p_partkey", "p_name", 0).where("id % 3 = 0").union(one("supplier", "s_suppkey", "s_name", 1)).union(one("customer", "c_custkey", "c_name", 2))
     return rows.groupBy("id").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
 
 

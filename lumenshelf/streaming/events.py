@@ -23,28 +23,36 @@ PAYLOAD = (
 ENVELOPE = f"event_id string, type string, version int, occurred_at string, source string, payload struct<{PAYLOAD.replace(' string', ':string').replace(' double', ':double')}>"
 
 
+FIELDS = ("event_id", "type", "version", "occurred_at", "source", "payload")
+
+
 def parse(raw: DataFrame, value: str = "value") -> DataFrame:
-    """All columns, with the event's fields and `reason`: why it is not valid, null if it is."""
-    e = raw.withColumn("_e", F.from_json(F.col(value), ENVELOPE, {"mode": "PERMISSIVE"}))
-    e = e.select(*raw.columns, F.try_parse_json(F.col(value)).isNull().alias("_bad"), "_e.*").withColumn("ts", F.try_to_timestamp("occurred_at"))
-    return e.withColumn("reason", F.substring(_reason(), 1, 500)).drop("_bad")
+    """All columns, with the event's fields and `reason`: why it is not valid, null if it is. Each message is parsed once: the
+    fields are generated from one struct, so that filters on them aren't moved in front of it with copies of the parser."""
+    read = F.struct(F.from_json(F.col(value), ENVELOPE, {"mode": "PERMISSIVE"}).alias("e"), F.try_parse_json(F.col(value)).isNull().alias("bad"))
+
+    def event(x: Column) -> Column:
+        ts = F.try_to_timestamp(x["e"]["occurred_at"])
+        return F.struct(*(x["e"][f].alias(f) for f in FIELDS), ts.alias("ts"), F.substring(_reason(x["e"], x["bad"], ts), 1, 500).alias("reason"))
+
+    return raw.select(*raw.columns, F.inline(F.transform(F.array(read), event)))
 
 
-def _reason() -> Column:
-    p = lambda c: F.col(f"payload.{c}")
+def _reason(e: Column, bad: Column, ts: Column) -> Column:
+    p = lambda c: e["payload"][c]
     size = lambda c: F.length(F.coalesce(c, F.lit("")))
-    kind = F.col("type")
+    kind = e["type"]
     url = lambda c: F.coalesce(c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/]+"), F.lit(False))
     money = lambda c: F.coalesce(c >= 0, F.lit(False))
     product, changed, feedback = kind.isin("discovered", "price_changed"), kind == "price_changed", kind == "feedback"
     checks = [
-        (F.col("_bad"), "not JSON"),
-        (size(F.col("event_id")) < 8, "envelope: event_id"),
+        (bad, "not JSON"),
+        (size(e["event_id"]) < 8, "envelope: event_id"),
         (~F.coalesce(kind.isin(*TYPES), F.lit(False)), "envelope: type"),
-        (~F.col("version").eqNullSafe(F.lit(1)), "envelope: version"),
-        (F.col("ts").isNull(), "envelope: occurred_at"),
-        (size(F.col("source")) < 1, "envelope: source"),
-        (F.col("payload").isNull(), "envelope: payload"),
+        (~e["version"].eqNullSafe(F.lit(1)), "envelope: version"),
+        (ts.isNull(), "envelope: occurred_at"),
+        (size(e["source"]) < 1, "envelope: source"),
+        (e["payload"].isNull(), "envelope: payload"),
         (product & ~url(p("product_url")), "payload: product_url"),
         (product & (size(p("brand")) < 1), "payload: brand"),
         (product & ~size(p("name")).between(1, 200), "payload: name"),
@@ -69,8 +77,8 @@ def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dedupe(events: DataFrame, key: str = "event_id", order: str = "ts") -> DataFrame:
-    """The first event of each id."""
-    w = Window.partitionBy(key).orderBy(order)
+    """The first event of each id; of those at one time, the one with the least hash of its columns."""
+    w = Window.partitionBy(key).orderBy(order, F.xxhash64(*events.columns))
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -99,3 +99,10 @@ def test_relax_order():
 def test_diverse_pick(spark):
     items = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("id")) for i, k in enumerate("aabacb")))
     assert [x.id for x in one(spark, recommend.diverse(items, 4).alias("p")).p] == [0, 1, 2, 4]
+
+
+def test_odd_shade_names(spark):
+    names = ["skyblue", "navyblue", "offwhite", "off-white", "rosegold", "hotpink", "mehroun", "mustered", "multi-color", "Multi Colour", "teal green", "seagreen"]
+    got = spark.createDataFrame([(n,) for n in names], "c string").select(color.canonical("c").alias("f")).collect()
+    assert [r.f for r in got] == ["Blue", "Blue", "White", "White", "Gold", "Pink", "Red", "Yellow", "Multicolor", "Multicolor", "Teal", "Green"]
+    assert one(spark, color.infer(F.lit("Skyblue kurta")).alias("a")).a.primary == "Blue"

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from lumenshelf.operators import accessories, requests
-from lumenshelf.operators.filters import Intent
 from lumenshelf.plans.products import products
 
 RAW = "title string, images array<string>, price double, product_url string, tags array<string>, description string, sub_category string, occasion array<string>, gender string"
@@ -33,12 +32,15 @@ def test_signals(spark):
     assert (b.catalog_hints, b.strong, c.colors) == ([], False, [])
 
 
-def test_intents():
-    assert requests.reprioritize("keep it a saree, but the color can change", ("color", "fabric")) == ("dress_style", "fabric", "color")
+def test_intents(spark):
+    rows = [("keep it a saree, but the color can change", ["color", "fabric"]), ("Any fabric. I insist on the shade", ["fabric", "color"]), (None, ["color"]), ("the print is flexible", ["print", "color"])]
+    got = [r.priority for r in requests.reprioritize(spark.createDataFrame(rows, "feedback string, priority array<string>")).collect()]
+    assert got == [["dress_style", "fabric", "color"], ["color", "fabric"], ["color"], ["color", "print"]]
     made = requests.to_intent({"occasion": ["Wedding", ""], "color": "red", "budget": "Rs 5,000", "pieces": "3 piece", "message": "for my kids", "junk": 1})
-    assert (made.occasion, made.color_families, made.max_budget, made.pieces, made.gender) == (("wedding",), ("Red",), 5000.0, 3, "kids")
-    assert made.priority == ("occasion", "color", "pieces")
-    assert requests.default_priority(Intent()) == ("occasion", "color", "dress_style")
+    assert (made.occasion, made.color_families, made.max_budget, made.pieces, made.gender, made.priority) == (("wedding",), ("Red",), 5000.0, 3, "kids", ())
+    given = spark.createDataFrame([(["color", "pieces", "occasion"], ["Wedding"]), (["occasion", "color"], ["casual"]), ([], None)], "given array<string>, occasion array<string>")
+    got = [r.p for r in given.select(requests.priority_of(F.col("given"), F.col("occasion")).alias("p")).collect()]
+    assert got == [["occasion", "color", "pieces"], ["color", "occasion"], ["occasion", "color", "dress_style"]]
 
 
 def test_intent_score_and_views(spark):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import Scratch, fresh
 
 LEVELS = 4
 MANY, VARIED = 16, 0.5
@@ -43,8 +43,9 @@ def _rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """paths: host, path (each pair once) and n, the pages of it. Adds `template` and `parent`.
+def templates(paths: DataFrame, store: Scratch) -> DataFrame:
+    """paths: host, path (each pair once) and n, the pages of it. Adds `template` and `parent`. Each level is written, as the next
+    one reads it twice.
 
     Each level joins a host's paths with what is known of its nodes. Hosts with at least 1/HOSTS of all paths, of which there
     are no more than HOSTS, are dealt by path too, so they don't come to one task."""
@@ -63,6 +64,7 @@ def templates(paths: DataFrame) -> DataFrame:
         now = now.join(nodes, ["host", "template", "salt"], "left").withColumn("next", F.concat("template", F.lit("/"), general))
         deeper = F.col("seg").isNotNull()
         now = now.withColumns({"parent": F.when(deeper, F.col("template")).otherwise(F.col("parent")), "template": F.when(deeper, F.col("next")).otherwise(F.col("template"))}).drop("distinct", "pages", "next", "seg")
+        now = store.keep(now)
     more = F.size("parts") > LEVELS
     now = now.withColumns({"parent": F.when(more, F.col("template")).otherwise(F.col("parent")), "template": F.when(more, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))})
     return now.drop("parts", "salt", "salts")
@@ -96,9 +98,11 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = R
     parsed = kept.withColumns({"host": host, "path": path})
     rule, what = _rule(rules)
     parsed = parsed.withColumns({"rule": rule, given: what})
-    paths = parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("n_given"), F.count(F.when(F.col(given) == "block", 1)).alias("n_blocked"))
-    tree = templates(paths)
-    found = tree.join(purity(tree), ["host", "parent", "template"], "left").select("host", "path", "template", "purity")
+    store = Scratch(df.sparkSession, "urltree")
+    paths = store.keep(parsed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count(given).alias("n_given"), F.count(F.when(F.col(given) == "block", 1)).alias("n_blocked")))
+    tree = templates(paths, store)
+    rates = purity(tree)
+    found = store.finish(tree.join(rates, ["host", "parent", "template"], "left").select("host", "path", "template", "purity"))
     judged = parsed.join(found, ["host", "path"], "left")
     verdict = F.coalesce(given, F.when(F.col("purity") > 0.5, "block").otherwise("allow"))
     return judged.select(*(F.col(f"`{c}`") for c in kept.columns), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -2,7 +2,8 @@
 
 Every step is a grouped minimum (with partial minima in each task) and a join of edges with the minima of their nodes. A
 node with a large part of all edges doesn't bring these to one task: the minima of such nodes, of which there can be few,
-are broadcast to the edges where they lie. Edges are written to the shared folder after each round.
+are broadcast to the edges where they lie. Edges are written to the shared folder after each round;
+the rounds end when the edges are stars, which one grouped sum tells.
 """
 
 from __future__ import annotations
@@ -36,18 +37,21 @@ def _small(edges: DataFrame, bound: int) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is either the least of its component or has one edge, to that least one. edges: distinct, a > b"""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    found = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return found.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, store: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for each id in an edge, the smallest id that it is linked to, directly or not. Loops and repeated
     edges do no harm; without edges the result is empty."""
     now = store.keep(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    state = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    mark = state(now)
-    while mark[0]:
-        bound = max(LEAST, 2 * mark[0] // HUBS)
+    while not _stars(now):
+        bound = max(LEAST, 2 * now.count() // HUBS)
         after = store.keep(_small(_large(now, bound), bound))
         store.drop(now)
-        now, before, mark = after, mark, state(after)
-        if mark == before:
-            break
+        now = after
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

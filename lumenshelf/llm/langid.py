@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import U, mix, row_chunks, small
+from .common import fresh
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -87,25 +88,32 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     names, matrix = model
     shared = df.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    told = fresh(df, "_told")[0]
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     k = len(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in small(batches):
-            raw = [x or b"" for x in batch.column(len(kept)).to_pylist()]
-            best, score = np.full(len(raw), -1), np.zeros(len(raw))
-            for a, b in row_chunks(raw, 1 << 18) if k else []:
-                bucket, row = grams(raw[a:b])
-                n = np.bincount(row, minlength=b - a)
-                like = np.stack([np.bincount(row, weights=table[bucket, j], minlength=b - a) for j in range(k)], axis=1)
-                like /= np.maximum(1, n / 64)[:, None]
-                p = np.exp(like - like.max(axis=1, keepdims=True))
-                best[a:b], score[a:b] = p.argmax(axis=1), 1 / p.sum(axis=1)
-            no = np.array([not t.strip() for t in raw], bool) | (best < 0)
-            score[no] = 0
-            lang = ["und" if x else names[i] for x, i in zip(no.tolist(), best.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+    def some(raw: list[bytes], table: np.ndarray) -> pa.StructArray:
+        best, score = np.full(len(raw), -1), np.zeros(len(raw))
+        for a, b in row_chunks(raw, 1 << 18) if k else []:
+            bucket, row = grams(raw[a:b])
+            n = np.bincount(row, minlength=b - a)
+            like = np.stack([np.bincount(row, weights=table[bucket, j], minlength=b - a) for j in range(k)], axis=1)
+            like /= np.maximum(1, n / 64)[:, None]
+            p = np.exp(like - like.max(axis=1, keepdims=True))
+            best[a:b], score[a:b] = p.argmax(axis=1), 1 / p.sum(axis=1)
+        no = np.array([not t.strip() for t in raw], bool) | (best < 0)
+        score[no] = 0
+        lang = ["und" if x else names[i] for x, i in zip(no.tolist(), best.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [some([x or b"" for x in texts.slice(a, 512).to_pylist()], shared.value) for a in range(0, len(texts), 512)]
+            yield pa.concat_arrays(parts) if parts else some([], shared.value)
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return df.select(*kept, F.when(has_letter, clean(text)).cast("binary").alias("_clean")).mapInArrow(run, schema)
+    cleaned = F.when(has_letter, clean(text)).cast("binary")
+    # Only the cleaned text goes to Python, only the two values come back. Called nondeterministic, or a filter on them would
+    # be moved below and each text predicted twice.
+    return df.select(*kept, run.asNondeterministic()(cleaned).alias(told)).select(*kept, F.col(told)["lang_pred"].alias("lang_pred"), F.col(told)["score"].alias("score"))

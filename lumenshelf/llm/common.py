@@ -69,6 +69,17 @@ class Scratch:
                 fs, path = self._hadoop(df._scratch_path)
                 fs.delete(path, True)
 
+    def folder(self) -> str:
+        """The qualified address of this run's folder, for files that are not tables. It goes when the application ends."""
+        fs, path = self._hadoop(self.root)
+        fs.deleteOnExit(path)
+        fs.mkdirs(path)
+        return fs.makeQualified(path).toString()
+
+    def delete(self, path: str) -> None:
+        fs, at = self._hadoop(path)
+        fs.delete(at, True)
+
     def finish(self, df: DataFrame) -> DataFrame:
         """Keep df as the only table."""
         out = self.keep(df)

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, each through its operator, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the driver's tables, each through its operator, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt, ctw, egojoin, fingerprint, langid, minhash, mixing, passages, urltree
+from . import align, bpe, bwt, ctw, egojoin, fingerprint, langid, minhash, mixing, passages, resample, urltree, warc
 from .common import table
 
 
@@ -40,10 +40,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,24 @@ def op10_urltree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target, percent=10, seed=2024, width=1, buckets=10_000, min_words=20).withColumnRenamed("id", "doc_id")
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+    found = align.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), shape=digest)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html", min_bytes=0)
+    return found.select(warc.number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.number("refers_to").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_egojoin": op1_egojoin,
     "op2_langid": op2_langid,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_bpe": op9_bpe,
     "op10_urltree": op10_urltree,
+    "op11_resample": op11_resample,
+    "op12_align": op12_align,
+    "op13_warc": op13_warc,
 }
 OP1_SQL = """
 WITH RECURSIVE fine AS (
@@ -121,4 +142,41 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_egojoin": OP1_SQL, "op5_minhash": OP5_SQL, "op10_urltree": urltree.SQL}
+OP11_SQL = """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+split AS (
+  SELECT 0 AS target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+uses AS (SELECT target, doc_id, unnest(w) AS word FROM split),
+spelt AS (
+  SELECT word, list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT) AS bytes
+  FROM (SELECT DISTINCT word FROM uses)),
+hashed AS (
+  SELECT word, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM spelt, steps),
+counts AS (
+  SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM uses JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+means AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight FROM uses JOIN hashed USING (word) JOIN gains USING (bucket) WHERE target = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN means USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+OP13_SQL = """
+WITH stored AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
+hashed AS (SELECT page_id, least, octet_length(encode(body)) AS payload_bytes, sha1(body) AS h FROM stored)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::INT >> (5 * (3 - i % 4))) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM hashed
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_egojoin": OP1_SQL, "op5_minhash": OP5_SQL, "op10_urltree": urltree.SQL, "op11_resample": OP11_SQL, "op13_warc": OP13_SQL}

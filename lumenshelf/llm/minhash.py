@@ -191,7 +191,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 def _linkable(hashed: DataFrame, percent: int) -> DataFrame:
     """(rep): sets that can link with another one of these. Shingles that no other set has bound what two sets can share: of a
-    set of n with u such, at most n - u, out of n + u or more."""
+    set of n with u such, at most n - u, and the union has n or more (n where the other set is a part of this one)."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -201,7 +201,7 @@ def _linkable(hashed: DataFrame, percent: int) -> DataFrame:
     rows = hashed.mapInArrow(flat, "rep long, h long")
     own = rows.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
     u = F.coalesce("u", F.lit(0))
-    return hashed.select("rep", "n_shingles").join(own, "rep", "left").where(100 * (F.col("n_shingles") - u) >= percent * (F.col("n_shingles") + u)).select("rep")
+    return hashed.select("rep", "n_shingles").join(own, "rep", "left").where(100 * (F.col("n_shingles") - u) >= percent * F.col("n_shingles")).select("rep")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -175,6 +176,42 @@ def test_minhash_nulls(spark):
     assert sorted((r.id or -1, r.component or -1) for r in minhash.near_duplicates(df).collect()) == [(-1, -1), (-1, -1), (1, 1), (2, 2)]
 
 
+def shingle_set(text, width):
+    w = clean_words(text)
+    return {tuple(w[j : j + width]) for j in range(len(w) - width + 1)}
+
+
+def test_minhash_keeps_sets_with_own_shingles(spark):
+    """A set that holds another one whole may have 15 in 100 shingles of its own, and still link at 0.85."""
+    rng = random.Random(4)
+    core, own = words(rng, 1002, 10**9), words(rng, 150, 10**9)
+    texts = spark.createDataFrame([(1, " ".join(core)), (2, " ".join(core + own)), (3, " ".join(core + own + words(rng, 30, 10**9)))], "rep long, text string")
+    hashed = minhash.shingle_sets(texts.where("rep < 3"), 3)
+    assert {r.rep for r in minhash._linkable(hashed, 85).collect()} == {1, 2}
+    assert {r.rep for r in minhash._linkable(minhash.shingle_sets(texts.where("rep <> 2"), 3), 85).collect()} == {1}
+
+
+def test_minhash_finds_links_in_shared_buckets(spark):
+    """Sets that meet in many buckets and mostly don't link, with six planted pairs of a set and a part of it."""
+    rng = random.Random(31)
+    blocks = [" ".join(words(rng, 30, 10**9)) for _ in range(100)]
+    texts = [" ".join(blocks[i] for i in sorted(rng.sample(range(100), 90))) for _ in range(300)]
+    for _ in range(6):
+        part = " ".join(blocks[i] for i in sorted(rng.sample(range(100), 72)))
+        texts += [part, part + " " + " ".join(words(rng, round(0.139 * 72 * 30), 10**9))]
+    order = rng.sample(range(len(texts)), len(texts))
+    got = {r.id: r.component for r in minhash.near_duplicates(frame(spark, texts, order), width=3, percent=85).collect()}
+    sets = {i: shingle_set(t, 3) for i, t in zip(order, texts, strict=True)}
+    links = {i: [] for i in sets}
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            links[i].append(j)
+            links[j].append(i)
+    assert sum(map(len, links.values())) >= 12
+    assert got == smallest(links, sets)
+
+
 # --- exact substrings ----------------------------------------------------------------------------------------------------
 
 

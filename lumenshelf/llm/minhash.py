@@ -123,10 +123,13 @@ def _block_pairs(left: DataFrame, sets: DataFrame, percent: int, hashes: int, st
     block = F.xxhash64("key", "salt", "own", F.pmod(F.xxhash64("rep"), F.col("cuts")))
     placed = store.keep(keyed.join(own, ["key", "salt", "c"]).select("rep", "c", "salt", "own", block.alias("block")))
     rows = left.select("bucket", "rep").join(placed, "rep")
-    others = rows.select("bucket", F.col("block").alias("other"), F.col("salt").alias("salt2"), F.col("own").alias("own2")).distinct()
+    others = rows.groupBy("bucket").agg(F.collect_set(F.struct("block", "salt", "own")).alias("blocks"))
     reach = 1 + int(np.ceil(4 * np.log2(100 / percent)))
-    met = rows.join(others, "bucket").where((F.abs(F.col("salt") - F.col("salt2")) <= reach) & ~F.coalesce(F.col("own") == F.col("own2"), F.lit(False)))
-    sent = met.select("rep", "c", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("first")).distinct()
+    fits = lambda x: (F.abs(F.col("salt") - x["salt"]) <= reach) & ~F.coalesce(F.col("own") == x["own"], F.lit(False))
+    met = rows.join(others, "bucket").withColumn("blocks", F.transform(F.filter("blocks", fits), lambda x: x["block"]))
+    met = met.groupBy("rep", "c", "block").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))  # of one set's buckets
+    other = F.col("other")
+    sent = met.select("rep", "c", "block", F.explode("blocks").alias("other")).select("rep", "c", F.least("block", other).alias("low"), F.greatest("block", other).alias("high"), (F.col("block") <= other).alias("first"))
     least = hashes * (percent / 100 - SLACK)
 
     def side(rows: list[dict]) -> tuple:

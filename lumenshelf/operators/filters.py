@@ -19,7 +19,7 @@ PRINT_PATTERNS = {
     "mixed": ["mixed", "embroidered", "printed", "embellished"],
 }
 #: Silhouettes that must match as they are.
-DISTINCTIVE = ["lehenga", "saree", "frock", "abaya", "sherwani", "western", "co-ord", "palazzo"]
+DISTINCTIVE = ["lehenga", "saree", "gown", "frock", "maxi", "abaya", "palazzo", "western", "co-ord"]
 NOT_OUTFITS = "(?i)dupatta|stole|scarf|scarves|clutch|bag|jewelry|jewellery"
 
 

@@ -75,7 +75,11 @@ class Choice:
 def choose(df: DataFrame, intent: Intent, least: int = ENOUGH) -> Choice:
     """The tightest level with enough matches, else the one with most. A budget below everything that fits stops the ladder; so
     does giving up a distinctive style once something of that style was found."""
-    counts = {r["level"]: (r["n"], r["cheapest"]) for r in level_counts(df, intent).collect()}  # one row a level
+    return ladder({r["level"]: (r["n"], r["cheapest"]) for r in level_counts(df, intent).collect()}, intent, least)  # one row a level
+
+
+def ladder(counts: dict[int, tuple[int, float | None]], intent: Intent, least: int = ENOUGH) -> Choice:
+    """The choice by (matches, lowest price without the budget) of each level."""
     best, most = None, 0
     for i, rung in enumerate(levels(intent)):
         n, cheapest = counts[i]

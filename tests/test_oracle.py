@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lumenshelf.plans import catalog
+from lumenshelf.plans import shop
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,11 +24,11 @@ def rows(table):
     return sorted((tuple(None if v != v else round(v, 5) if isinstance(v, float) else v for v in r) for r in table), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(shop.ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
+    got = shop.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = duck.sql(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLE_SQL[name].strip()})")
+    want = duck.sql(f"SELECT {', '.join(cols)} FROM ({shop.ORACLE_SQL[name].strip()})")
     assert rows(tuple(r) for r in got.select(*cols).collect()) == rows(want.fetchall())
 
 

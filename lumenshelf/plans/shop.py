@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, filters, probes
+from ..session import shared_folder
+from ..streaming import worker
 from .catalog import HARD, INTENT, ORACLE_SQL, QUERIES, SOFT, query, with_products
 from .products import products, table
 
@@ -99,3 +101,41 @@ UNION ALL SELECT id, 'GENDER' FROM t WHERE gender = 'women' AND regexp_matches(w
 UNION ALL SELECT id, 'COLOR' FROM t WHERE lower(tone) <> 'digital printed' AND {_FAMILY} IS NOT NULL AND lower({_FAMILY}) <> shade""")
 def audit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(labelled_listings(spark, sf_dir), "id", audit.overlap).select("id", "type")
+
+
+# --- events that are worked on once -----------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 7 = 6 THEN NULL ELSE event_id % 4 END AS f, CASE WHEN event_id % 7 = 6 THEN 3 ELSE least(event_id % 4 + 1, 3) END AS n FROM events),
+a AS (SELECT *, unnest(range(1, n + 1)) AS attempt FROM e)
+SELECT event_id, attempt::INT AS attempt, ts + to_microseconds((100000 * (pow(2, attempt - 1) - 1))::BIGINT) AS due, coalesce(attempt > f, false) AS ok,
+CASE WHEN coalesce(attempt > f, false) THEN 'stored' WHEN attempt = 3 THEN 'dead' ELSE 'retry' END AS outcome FROM a""")
+def retry_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some fail a few times, and some each time."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 6, F.col("event_id") % 4).alias("failures"))
+    return worker.attempts(e, "event_id", "ts", "failures").withColumn("due", F.col("due").cast("timestamp_ntz"))
+
+
+@query("""WITH r AS (SELECT user_id, ts, event_type <> 'error' AS ok, event_type, row_number() OVER w AS k, count(*) FILTER (event_type <> 'error') OVER p AS good, count(*) FILTER (event_type = 'error') OVER p AS bad
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts), p AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT user_id, count(*)::INT AS tries, arg_max(ok, ts) AS ok, max(ts) AS last, arg_max(event_type, ts) AS error FROM r WHERE good = 0 AND bad < 3 GROUP BY user_id)
+SELECT user_id, tries, CASE WHEN ok THEN 'done' WHEN tries >= 3 THEN 'dead' ELSE 'waiting' END AS status, CASE WHEN NOT ok AND tries < 3 THEN last + to_microseconds((100000 * pow(2, tries - 1))::BIGINT) END AS next_at,
+CASE WHEN NOT ok AND tries >= 3 THEN 'store failed after 3 attempts: ' || error END AS reason FROM c""")
+def retry_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as attempts at one thing."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", (F.col("event_type") != "error").alias("ok"), "event_type")
+    return worker.settle(e, "user_id", "ts", "ok", "event_type").withColumn("next_at", F.col("next_at").cast("timestamp_ntz"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 AND event_id % 10 <> 0 THEN 'pending' ELSE 'done' END AS status, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 3 END AS batch,
+value < 50 AS low FROM events""")
+def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of events, with some that came in an earlier one and one batch that comes again; the last one is never completed."""
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    ledger = worker.Ledger(spark, shared_folder(spark, "ledger"))
+    decide = lambda rows: rows.withColumn("low", F.col("value") < 50)
+    for batch in (0, 1, 1, 2):
+        rows = ledger.begin(e.where((F.col("event_id") % 3 == batch) | (F.col("event_id") % 10 == 0)), batch, decide)
+        if rows is not None and batch < 2:
+            ledger.complete(batch)
+    return ledger.status().select("event_id", "status", F.col("batch").cast("long").alias("batch"), "low")

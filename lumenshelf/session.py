@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -34,3 +35,19 @@ def local_session(cpus: int | str = 8, memory: str = "16g", partitions: int = 8,
         "spark.sql.adaptive.enabled": "true",
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName("lumenshelf").config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that all executors see: under spark.checkpoint.dir, or, with a local master, a temporary one."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lumenshelf-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()

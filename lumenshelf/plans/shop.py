@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, filters, probes
 from ..session import shared_folder
+from ..sources import brands, selectors
 from ..streaming import worker
 from .catalog import HARD, INTENT, ORACLE_SQL, QUERIES, SOFT, query, with_products
 from .products import products, table
@@ -139,3 +140,72 @@ def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         if rows is not None and batch < 2:
             ledger.complete(batch)
     return ledger.status().select("event_id", "status", F.col("batch").cast("long").alias("batch"), "low")
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT p_brand, 'https://shop' || regexp_replace(p_brand, '[^0-9]', '', 'g') || '.example' AS base, CASE WHEN hash_of % 2 = 0 THEN 'shoes' ELSE 'clothing' END AS category
+  FROM (SELECT DISTINCT p_brand, regexp_replace(p_brand, '[^0-9]', '', 'g')::INT AS hash_of FROM part)),
+c AS (SELECT *, base || '/collections/' || path AS url, gender FROM d, (VALUES ('new', 'women'), ('sale', 'men')) v(path, gender))
+SELECT p_partkey, c.url, c.gender FROM part JOIN c USING (p_brand) WHERE lower(p_brand) IN ('brand#3', 'brand#7', 'brand#12') AND category = 'clothing'""")
+def brand_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over some brands: listings stored by brand, joined with the stored dimension of their collections."""
+    part = table(spark, sf_dir, "part")
+    number = F.regexp_replace("p_brand", "[^0-9]", "")
+    none = F.array().cast("array<string>")
+    shelves = F.array(*(F.struct(F.lit(f"/collections/{p}").alias("path"), F.lit(None).cast("string").alias("sub_category"), none.alias("occasion"), none.alias("style"), F.lit(g).alias("gender")) for p, g in (("new", "women"), ("sale", "men"))))
+    config = part.select("p_brand").distinct().select(F.col("p_brand").alias("brand"), F.concat(F.lit("https://shop"), number, F.lit(".example/")).alias("base_url"), F.lit("A").alias("adapter"), F.when(number.cast("int") % 2 == 0, "shoes").otherwise("clothing").alias("category"), shelves.alias("collections"))
+    root = shared_folder(spark, "brands")
+    brands.store_dimension(brands.collections(config), f"{root}/dimension")
+    brands.store_listings(part, f"{root}/listings", "p_brand")
+    return brands.run(spark, f"{root}/listings", f"{root}/dimension", "Brand#3, brand#7,BRAND#12, brand#4", "clothing").select("p_partkey", "url", "gender")
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` as saved listing pages of 24 cards, in three themes; one page in five has no cards."""
+    k = F.col("p_partkey")
+    theme = F.floor(k / 24) % 5
+    href = F.concat(F.lit("/products/"), k.cast("string"))
+    price = F.concat(F.lit("Rs. "), F.format_number("p_retailprice", 2))
+    card = (
+        F.when(theme == 0, F.format_string('<div class="product-card x"><h2><a href="%s">%s</a></h2><img src="/blank.gif"><img class="product-image" src="//cdn.example/%s_{width}.jpg"><p class="price"><span class="money">%s</span></div>', href, "p_name", k, price))
+        .when(theme == 1, F.format_string('<li class="item product"><a class="product-name" href="https://b.example%s">%s<br></a><img data-src="/i/product%s.png"><span class="price-item--sale">%s</span>', href, "p_name", k, price))
+        .when(theme == 2, F.format_string('<a href="%s"><span data-product-id="1"><b class="name">%s</b><img src="https://cdn.shopify/%s.jpg"><i class="now-price">%s</i></span></a>', href, "p_name", k, price))
+        .otherwise(F.concat(F.lit("<p>"), "p_name", F.lit("</p>")))
+    )
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 24).alias("page"), F.struct(k.alias("k"), card.alias("c")).alias("card"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list("card")).alias("cards"))  # 24 a page
+    return pages.select(F.concat(F.lit("https://a.example/list/"), F.col("page").cast("string")).alias("url"), F.concat(F.lit("<!DOCTYPE html><html><body><ul>"), F.array_join(F.transform("cards", lambda c: c["c"]), "\n"), F.lit("</ul></body>")).alias("html"))
+
+
+@query("""WITH p AS (SELECT *, p_partkey // 24 AS page, (p_partkey // 24) % 5 AS theme, count(*) OVER (PARTITION BY p_partkey // 24) AS n FROM part)
+SELECT 'https://a.example/list/' || page AS page, row_number() OVER (PARTITION BY page ORDER BY p_partkey)::INT AS position, p_name AS title, CASE theme WHEN 0 THEN 'https://cdn.example/' || p_partkey || '_600.jpg' WHEN 1 THEN 'https://a.example/i/product' || p_partkey || '.png' ELSE 'https://cdn.shopify/' || p_partkey || '.jpg' END AS image_url,
+CASE WHEN theme = 1 THEN 'https://b.example' ELSE 'https://a.example' END || '/products/' || p_partkey AS product_url, round(p_retailprice)::BIGINT AS price FROM p WHERE theme < 3 AND n >= 2""")
+def selector_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of saved listing pages, by the first container selector that fits each page."""
+    return selectors.cards(listing_pages(spark, sf_dir), most=None).select("page", "position", "title", "image_url", "product_url", "price")
+
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` with what a product page has besides: JSON-LD of several forms, a stock notice, sizes, a description."""
+    k = F.col("page_id")
+    word = F.when(k % 2 == 0, "InStock").otherwise("SoldOut")
+    offer = F.concat(F.lit('{"availability": "https://schema.org/'), word, F.lit('"}'))
+    ld = (
+        F.when(k % 6 == 0, F.concat(F.lit('{"@type": "Product", "offers": '), offer, F.lit("}")))
+        .when(k % 6 == 1, F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, {"offers": ['), offer, F.lit("]}]}")))
+        .when(k % 6 == 2, F.concat(F.lit('[{"offers": '), offer, F.lit('}, {"name": "x"}]')))
+        .when(k % 6 == 3, F.lit('{"offers": {broken'))
+        .otherwise(F.lit('{"@type": "Product"}'))
+    )
+    notice = F.when(k % 4 == 3, "<div class='availability'><b>Item is currently Out of Stock</b></div>").otherwise("")
+    box = F.concat(F.lit("<div class='description-and-detail'><p>"), F.lit("Page <b>"), k.cast("string"), F.lit("</b><div>deep</div></div>"))
+    sizes = F.concat(F.lit("<div class='size-item'><input id='m'><input data-attr-value='"), (k % 90 + 10).cast("string"), F.lit("'><input id='3PC'><input id='M'></div>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit("<script type='application/ld+json'>"), ld, F.lit("</script>"), notice, box, sizes).alias("html"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 6 IN (0, 1, 2) THEN page_id % 2 = 0 WHEN page_id % 4 = 3 THEN false END AS available, 'Page ' || page_id || ' deep' AS description, 'M,' || (page_id % 90 + 10) AS sizes FROM pages""")
+def product_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = selectors.product_pages(detail_pages(spark, sf_dir))
+    return read.select("page_id", "available", F.regexp_replace("description", r"\s+", " ").alias("description"), F.array_join("sizes", ",").alias("sizes"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.text import overlap_score
 from .filters import DISTINCTIVE, NOT_OUTFITS, Intent, given, hard, soft
+from .folds import fold
+from .lists import first_under_any_price
 
 #: Constraints in the order in which they are given up.
 RELAX = ["neckline", "occasion", "print", "dress_style", "stitching", "pieces", "fabric", "season", "color"]
@@ -176,19 +177,21 @@ def watch_score(color_fit: Column, watch_occasion: Column, watch_type: Column, w
     return F.round(color_fit * 0.45 + occasion + bonus, 3)
 
 
-CLASSES = 10_000
-
-
 def best_partner(left: DataFrame, right: DataFrame, key: str, partner: str, score: Column, by: tuple[list[str], list[str]], k: int = 1) -> DataFrame:
     """The k best rows of right for each row of left; ties by partner id. The score depends on the columns `by` (of left, of
     right) only, so classes of equal ones are scored, never pairs of rows: of each class of right its k first rows can be among
-    the best. right may have CLASSES classes (checked); left is joined by class."""
+    the best. Classes are dealt in groups to as many tasks, each group of left's classes meets each of right's once, and left is
+    joined by class: any number of classes is served, in time and shuffle by the product of both numbers."""
     mine, theirs = by
+    cells = 16
     first = right.withColumn("_k", F.row_number().over(Window.partitionBy(*theirs).orderBy(partner))).where(F.col("_k") <= k).select(partner, *theirs)
-    if first.select(*theirs).distinct().limit(CLASSES + 1).count() > CLASSES:
-        raise ValueError(f"more than {CLASSES} classes")
-    scored = left.select(*mine).distinct().crossJoin(F.broadcast(first)).withColumn("score", score)  # classes by classes x k
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*mine).orderBy(F.desc("score"), partner))).where(F.col("rank") <= k)
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    lefts = left.select(*mine).distinct().withColumn("_l", F.pmod(F.xxhash64(*mine), F.lit(cells)).cast("int")).withColumn("_r", every)
+    rights = first.withColumn("_r", F.pmod(F.xxhash64(*theirs), F.lit(cells)).cast("int")).withColumn("_l", every)
+    best_of = lambda *also: Window.partitionBy(*mine, *also).orderBy(F.desc("score"), partner)
+    scored = lefts.join(rights, ["_l", "_r"]).withColumn("score", score)
+    some = scored.withColumn("rank", F.row_number().over(best_of("_l", "_r"))).where(F.col("rank") <= k)  # k for each class and cell
+    best = some.withColumn("rank", F.row_number().over(best_of())).where(F.col("rank") <= k).drop("_l", "_r")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in mine]
     on = same[0]
     for c in same[1:]:
@@ -197,21 +200,20 @@ def best_partner(left: DataFrame, right: DataFrame, key: str, partner: str, scor
 
 
 def greedy_unique(scored: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
-    """Within each group (a request: a few rows), every left in order takes the best right that is still free."""
-    schema = f"{group} long, {left} long, {right} long, {score} double"
+    """Within each group (a request), every left in order takes the best right that is still free; ties by right. What has been taken is
+    the state of a group: one id for each left at most."""
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for _, rows in pdf.sort_values([left, score, right], ascending=[True, False, True]).groupby(left, sort=True):
-            free = rows[~rows[right].isin(used)]
-            if len(free):
-                best = free.iloc[0]
-                used.add(best[right])
-                out.append(best)
-        return pd.DataFrame(out, columns=[group, left, right, score]).astype({group: "int64", left: "int64", right: "int64"})
+    def step(state: tuple[object, set], row: tuple) -> tuple[tuple[object, set], tuple]:
+        served, taken = state
+        mine, theirs = row
+        if mine == served or theirs in taken:
+            return state, (False,)
+        taken.add(theirs)
+        return (mine, taken), (True,)
 
-    return scored.select(group, left, right, F.col(score).cast("double").alias(score)).groupBy(group).applyInPandas(assign, schema)
+    rows = scored.select(group, left, right, F.col(score).cast("double").alias(score))
+    picked = fold(rows, [group], [left, F.desc(score), right], [left, right], "_taken boolean", lambda: (None, set()), step)
+    return picked.where("_taken").drop("_taken")
 
 
 def diverse(sorted_items: Column, cap: int) -> Column:
@@ -225,11 +227,15 @@ def diverse(sorted_items: Column, cap: int) -> Column:
 
 
 def complete(df: DataFrame, hero: DataFrame, key: str, limit: int = 5) -> DataFrame:
-    """Pieces that go with each hero row: in stock, of its gender or unisex, another id, at most 1.4 times its price; the best by
-    colour. df is joined by gender, so candidates of other genders are never paired."""
+    """(hero_id, key, score, rank): pieces that go with each hero row: in stock, of its gender or unisex, another id, at most 1.4 times
+    its price; the best by colour, ties by id. Of each gender and colour only rows that can be among the first under some price
+    limit are paired with heroes: a few hundred a hero, whatever the size of df."""
     h = hero.select(F.col(key).alias("hero_id"), F.explode(F.array("gender", F.lit("unisex"))).alias("gender"), F.col("price").alias("hero_price"), F.col("primary_color").alias("hero_color")).distinct()
-    pool = df.where(~F.col("in_stock").eqNullSafe(F.lit(False)))
-    pairs = pool.join(h, "gender").where((F.col(key) != F.col("hero_id")) & (F.col("price") <= 1.4 * F.col("hero_price")))
+    shelf = F.to_json(F.struct("gender", "primary_color"))
+    pool = df.where(~F.col("in_stock").eqNullSafe(F.lit(False))).where("price is not null").select(shelf.alias("_shelf"), F.col(key), "price")
+    few = first_under_any_price(pool, "_shelf", key, "price", limit + 1)
+    shown = few.withColumns({"gender": F.get_json_object("_shelf", "$.gender"), "primary_color": F.get_json_object("_shelf", "$.primary_color")}).drop("_shelf")
+    pairs = shown.join(h, "gender").where((F.col(key) != F.col("hero_id")) & (F.col("price") <= 1.4 * F.col("hero_price")))
     w = Window.partitionBy("hero_id").orderBy(F.desc("score"), key)
     scored = pairs.withColumn("score", F.round(color.compatibility("hero_color", "primary_color"), 3))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("hero_id", key, "score", "rank")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, rules
 from ..functions.text import textual_match
 from .filters import Intent
+from .folds import fold
 from .recommend import RELAX
 
 #: Garments by keyword in queries.
@@ -166,17 +167,16 @@ def grounded(answers: DataFrame, returned: DataFrame, key: str) -> DataFrame:
 
 
 def quota(hits: DataFrame, caller: str, time: str = "ts", window_seconds: int = 3600, limit: int = 10) -> DataFrame:
-    """`n` of each hit within its caller's window, and `allowed`. A window begins with the first hit after the last one has ended. Hits
-    are folded in time order by caller, as numbers only."""
-    w = Window.partitionBy(caller).orderBy("_s", "_k")
-    rows = hits.withColumns({"_s": F.unix_micros(time) / 1e6, "_k": F.monotonically_increasing_id()})
-    times = F.array_sort(F.collect_list(F.struct("_s", "_k")))
-    zero = F.struct(F.lit(-1e18).alias("start"), F.array().cast("array<double>").alias("starts"))
-    step = lambda acc, x: F.struct(F.when(x["_s"] >= acc["start"] + window_seconds, x["_s"]).otherwise(acc["start"]).alias("start"), F.concat(acc["starts"], F.array(F.when(x["_s"] >= acc["start"] + window_seconds, x["_s"]).otherwise(acc["start"]))).alias("starts"))
-    starts = rows.groupBy(caller).agg(F.aggregate(times, zero, step)["starts"].alias("_all"))
-    placed = rows.withColumn("_i", F.row_number().over(w)).join(starts, caller).withColumn("_start", F.element_at("_all", F.col("_i")))
-    n = F.row_number().over(Window.partitionBy(caller, "_start").orderBy("_s", "_k"))
-    return placed.withColumn("n", n).withColumn("allowed", F.col("n") <= limit).drop("_s", "_k", "_i", "_all", "_start")
+    """`n` of each hit within its caller's window, and `allowed`. A window begins with the first hit after the last one has ended. The
+    state of a caller is two numbers; hits of one time count in the order of their other columns."""
+
+    def step(state: tuple[float, int], row: tuple) -> tuple[tuple[float, int], tuple]:
+        start, n = state
+        start, n = (row[0], 1) if row[0] >= start + window_seconds * 1_000_000 else (start, n + 1)
+        return (start, n), (n, n <= limit)
+
+    timed = hits.withColumn("_us", F.unix_micros(time))
+    return fold(timed, [caller], ["_us", F.xxhash64(*hits.columns)], ["_us"], "n int, allowed boolean", lambda: (float("-inf"), 0), step).drop("_us")
 
 
 def client_view(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, filters, probes
+from ..operators import audit, filters, outfits, probes
 from ..session import shared_folder
 from ..sources import brands, selectors
 from ..streaming import worker
@@ -209,3 +209,40 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = selectors.product_pages(detail_pages(spark, sf_dir))
     return read.select("page_id", "available", F.regexp_replace("description", r"\s+", " ").alias("description"), F.array_join("sizes", ",").alias("sizes"))
+
+
+# --- outfits ---------------------------------------------------------------------------------------------------------------
+
+
+def wardrobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` as clothes with what the outfit rules read."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda c, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (c % len(values) + 1).cast("int"))
+    sets = F.when(size % 6 == 0, F.array(F.lit("Kameez"), F.lit("Dupatta"))).when(size % 6 == 1, F.array(F.lit("shirt"), F.lit("trouser"))).when(size % 6 == 2, F.array(F.lit("shirt"), F.lit("dupatta"), F.lit("shalwar")))
+    occasion = F.when(k % 4 == 0, F.array(F.lit("party"), F.lit("Eid"))).when(k % 4 == 1, F.array(F.lit("casual"))).when(k % 4 == 2, F.array(F.lit("eid"), F.lit("casual")))
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), "p_name", F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.initcap(F.split("p_name", " ")[0]).alias("primary_color"), occasion.alias("occasion"), sets.alias("includes"),
+        pick(size, "dupatta", "pants", "shalwar", "suit", "kurta", "western", None).alias("sub_category"), pick(size, "top", "trouser", "kurta", None).alias("dress_style"),
+        F.when(size % 5 == 0, "western").when(size % 5 < 4, "eastern").alias("fashion_type"), F.when(k % 3 == 0, "men").when(k % 3 == 1, "women").when(k % 5 == 0, "unisex").alias("gender"), pick(size, "1-piece", "2-piece", "3-piece").alias("pieces"),
+    )
+
+
+WARDROBE = """WITH w AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, split_part(p_name, ' ', 1) AS tone, CASE p_size % 6 WHEN 0 THEN ['kameez', 'dupatta'] WHEN 1 THEN ['shirt', 'trouser'] WHEN 2 THEN ['shirt', 'dupatta', 'shalwar'] ELSE [] END AS has,
+  CASE p_partkey % 4 WHEN 0 THEN ['party', 'eid'] WHEN 1 THEN ['casual'] WHEN 2 THEN ['eid', 'casual'] ELSE [] END AS occ, coalesce(['dupatta', 'pants', 'shalwar', 'suit', 'kurta', 'western', NULL][p_size % 7 + 1], '') AS sub, coalesce(['top', 'trouser', 'kurta', NULL][p_size % 4 + 1], '') AS style,
+  p_size % 5 = 0 AS western, CASE WHEN p_partkey % 3 = 0 THEN 'men' WHEN p_partkey % 3 = 1 THEN 'women' WHEN p_partkey % 5 = 0 THEN 'unisex' ELSE 'women' END AS gender, ['1-piece', '2-piece', '3-piece'][p_size % 3 + 1] AS pieces FROM part),
+h AS (SELECT id AS hero_id, price AS hero_price, tone AS hero_tone, occ AS hero_occ, gender AS hero_gender, unnest(list_filter([
+  CASE WHEN western AND gender = 'women' AND (style IN ('top', 't-shirt', 'polo') OR contains(sub, 'western') OR regexp_matches(name, 'top|tee|shirt')) THEN {'turn': 0, 'slot': 'western_bottom', 'role': 'bottom', 'pool': 'w', 'most': 2} END,
+  CASE WHEN NOT western AND pieces = '2-piece' AND NOT list_contains(has, 'dupatta') THEN {'turn': 1, 'slot': 'dupatta_two', 'role': 'dupatta', 'pool': 'd', 'most': 2} END,
+  CASE WHEN NOT western AND list_has_any(has, ['shirt', 'kameez']) AND list_contains(has, 'dupatta') AND NOT list_has_any(has, ['trouser', 'shalwar']) THEN {'turn': 2, 'slot': 'bottom_set', 'role': 'bottom', 'pool': 't', 'most': 2} END,
+  CASE WHEN NOT western AND (pieces = '1-piece' OR sub = 'kurta') THEN {'turn': 3, 'slot': 'dupatta_one', 'role': 'dupatta', 'pool': 'd', 'most': 1} END,
+  CASE WHEN NOT western AND (pieces = '1-piece' OR sub = 'kurta') THEN {'turn': 4, 'slot': 'bottom_one', 'role': 'bottom', 'pool': 'b', 'most': 1} END], lambda x: x IS NOT NULL)) AS s FROM w WHERE id % 50 = 0),
+m AS (SELECT hero_id, s.turn AS turn, s.slot AS slot, s.role AS role, s.most AS most, id, 2 * list_has_any(occ, hero_occ)::INT + (tone = hero_tone)::INT AS score FROM h JOIN w ON id <> hero_id AND gender IN (hero_gender, 'unisex') AND price <= round(hero_price * 1.4)
+  AND CASE s.pool WHEN 'w' THEN style = 'trouser' OR sub = 'western' OR regexp_matches(name, 'jean|denim|trouser|pant') WHEN 'd' THEN sub = 'dupatta' WHEN 't' THEN sub IN ('pants', 'shalwar') OR style = 'trouser' ELSE sub IN ('pants', 'shalwar') END),
+r AS (SELECT *, row_number() OVER (PARTITION BY hero_id, turn ORDER BY score DESC, id) AS k FROM m), p AS (SELECT *, row_number() OVER (PARTITION BY hero_id ORDER BY turn, k) AS place FROM r WHERE k <= most)
+SELECT hero_id, place::INT AS place, role, slot, id, score FROM p WHERE place <= 5"""
+
+
+@query(WARDROBE)
+def outfit_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clothes = wardrobe(spark, sf_dir)
+    return outfits.complete(clothes, clothes.where("id % 50 = 0"), "id").select("hero_id", "place", "role", "slot", "id", "score")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import fold
+
 TYPES = ("discovered", "price_changed", "feedback")
 #: What shoppers do, and where.
 ACTIONS = ("result_click", "save", "unsave", "thumb_up", "thumb_down", "tryon_start", "outfit_accept", "outfit_reject")
@@ -147,20 +149,15 @@ def append_once(batch: DataFrame, ledger: str, key: str = "event_id", batch_id:
 
 def breaker(outcomes: DataFrame, key: str, ok: str, time: str = "ts", failures: int = 3, open_seconds: int = 60) -> DataFrame:
     """Circuit breaker by key: `open` tells whether an attempt met an open breaker. So many failures in a row open it for a while;
-    attempts then are refused and don't count. One provider's attempts are folded in time order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        run, until, refused = 0, None, []
-        pdf = pdf.sort_values(time, kind="stable")
-        for good, t in zip(pdf[ok], pdf[time], strict=True):
-            is_open = until is not None and t < until
-            refused.append(is_open)
-            if is_open:
-                continue
-            run = 0 if good else run + 1
-            if run >= failures:
-                until, run = t + pd.Timedelta(seconds=open_seconds), 0
-        return pdf.assign(open=refused)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in outcomes.schema) + ", open boolean"
-    return outcomes.groupBy(key).applyInPandas(fold, schema)
+    attempts then are refused and don't count. The state of a provider is two numbers."""
+
+    def step(state: tuple[int, float], row: tuple) -> tuple[tuple[int, float], tuple]:
+        run, until = state
+        good, at = row
+        if at < until:
+            return state, (True,)
+        run = 0 if good else run + 1
+        return ((0, at + open_seconds * 1_000_000) if run >= failures else (run, until)), (False,)
+
+    timed = outcomes.withColumn("_us", F.unix_micros(time))
+    return fold(timed, [key], ["_us", F.xxhash64(*outcomes.columns)], [ok, "_us"], "open boolean", lambda: (0, float("-inf")), step).drop("_us")

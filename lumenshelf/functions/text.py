@@ -34,26 +34,26 @@ def strip_tags(html: str | Column) -> Column:
 
 
 def decode_named(text: Column) -> Column:
-    """Named entities, each once; `&amp;` last so that nothing is decoded twice."""
+    """Named entities but `&amp;`, which comes last so that nothing is decoded twice."""
     for name, char in ENTITIES.items():
         if name != "amp":
             text = F.regexp_replace(text, f"(?i)&{name};", "\\$" if char == "$" else char)
-    return F.regexp_replace(text, "(?i)&amp;", "&")
+    return text
 
 
-@F.pandas_udf(T.StringType())
-def decode_entities(s: pd.Series) -> pd.Series:
-    """Named and numeric entities; unknown ones stay."""
-    import re
+def decode_numeric(text: Column) -> Column:
+    """Numeric entities of code points other than `&`; what isn't a character stays."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), F.lit(1)))
+    value = lambda c: F.when(F.lower(F.substring(c, 1, 1)) == "x", F.conv(F.substring(c, 2, 6), 16, 10)).otherwise(c).cast("int")
+    fits = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF) & (n != 38)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.aggregate(codes, text, lambda out, c: F.when(fits(value(c)), F.replace(out, F.concat(F.lit("&#"), c, F.lit(";")), char(value(c)))).otherwise(out))
 
-    def one(m: re.Match[str]) -> str:
-        body = m[1]
-        if body[0] == "#":
-            code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-            return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
-        return ENTITIES.get(body.lower(), m[0])
 
-    return s.map(lambda t: None if t is None else re.sub(r"&(#[xX][0-9a-fA-F]+|#\d+|[A-Za-z][A-Za-z0-9]*);", one, t))
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities, each once; unknown ones stay. Texts without `&` are left as they are."""
+    out = F.regexp_replace(decode_numeric(decode_named(text)), "(?i)&(amp|#0*38|#x0*26);", "&")
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def strip_html(html: str | Column, longest: int | None = None) -> Column:

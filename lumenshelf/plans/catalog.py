@@ -192,9 +192,9 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.duplicate_groups(table(spark, sf_dir, "part"), F.col("p_brand"), F.lower(F.trim("p_name")))
 
 
-@query()
+@query("SELECT * FROM part ORDER BY md5(p_partkey || ':42'), p_partkey LIMIT 24")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").orderBy(F.xxhash64("p_partkey", F.lit(42)), "p_partkey").limit(24)
+    return table(spark, sf_dir, "part").orderBy(F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), F.lit("42"))), "p_partkey").limit(24)
 
 
 @query("""SELECT p_brand, grouping(p_brand)::INT AS is_total, count(*) AS n, count(*) FILTER (p_size % 10 = 0) AS failed FROM part GROUP BY ROLLUP (p_brand)""")
@@ -233,7 +233,9 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags("html").alias("body"))
 
 
-@query()
+@query("""WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[\\s\\S]*?</script>|<style[\\s\\S]*?</style>', ' ', 'gi'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&amp;', '&') AS t FROM s)
+SELECT page_id, substr(trim(regexp_replace(t, '[\\s\\x{00a0}\\x{200b}]+', ' ', 'g')), 1, 2000) AS body FROM d""")
 def html_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html("html", 2000).alias("body"))
 
@@ -291,7 +293,12 @@ def color_compat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.best_partner(dresses, pool, "dress", "other", score, (["dc", "do"], ["sc", "so"]), k=2).select("dress", "other", "score", "rank")
 
 
-@query()
+@query(with_products(f""", pairs(a, b, s) AS (VALUES {PAIRS}), scored AS (
+  SELECT d.id // 100 AS request, d.id AS dress, x.id AS shoe, round(s + x.price / 100000, 6)::DOUBLE AS score FROM products d JOIN products x ON d.id // 100 = x.id // 100 AND x.type = 'PROMO' JOIN pairs ON a = d.primary_color AND b = x.primary_color WHERE d.type = 'LARGE'),
+options AS (SELECT request, dress, list(shoe ORDER BY score DESC, shoe) AS shoes, row_number() OVER (PARTITION BY request ORDER BY dress) AS k FROM scored GROUP BY request, dress),
+walk AS (SELECT DISTINCT request, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS dress, NULL::BIGINT AS shoe FROM options
+  UNION ALL SELECT w.request, o.k, CASE WHEN len(free) > 0 THEN list_append(w.taken, free[1]) ELSE w.taken END, o.dress, free[1] FROM walk w JOIN (SELECT * FROM options) o ON o.request = w.request AND o.k = w.k + 1, LATERAL (SELECT list_filter(o.shoes, lambda x: NOT list_contains(w.taken, x)) AS free))
+SELECT request, dress, shoe, score FROM walk JOIN scored USING (request, dress, shoe)""").replace("WITH", "WITH RECURSIVE", 1))
 def greedy_unique_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = products(spark, sf_dir)  # a hundred listings a request
     left = p.where("type = 'LARGE'").select(F.floor(F.col("id") / 100).alias("request"), F.col("id").alias("dress"), F.col("primary_color").alias("dc"))
@@ -349,7 +356,19 @@ def relax_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.level_counts(products(spark, sf_dir), INTENT)
 
 
-@query()
+def _choice_sql() -> str:
+    rungs = recommend.levels(INTENT)
+    fits = [" AND ".join([HARD, "price <= 960", *(c for name, c in SOFT.items() if name not in r.dropped and (name != "color" or r.color != "none"))]) for r in rungs]
+    points = {"pieces": 2, "stitching": 2, "print": 1, "fabric": 1, "occasion": 1, "season": 1, "color": 3}
+    score = " + ".join([*(f"CASE WHEN {SOFT[c]} THEN {p} ELSE 0 END" for c, p in points.items()), "CASE WHEN price <= 960 THEN 1 ELSE 0 END"])
+    return with_products(f""", counts AS ({_level_sql().removeprefix(with_products(""))}),
+ends AS (SELECT min(level) FILTER (n >= 8) AS enough, min(level) FILTER (n = 0 AND cheapest IS NOT NULL) AS blocked, arg_max(level, n * 1000 - level) FILTER (n > 0) AS most FROM counts),
+chosen AS (SELECT CASE WHEN blocked < coalesce(enough, 1000) THEN -1 ELSE coalesce(enough, most, -1) END AS level FROM ends),
+found AS (SELECT p.*, ({score})::INT AS score, level FROM products p, chosen WHERE CASE level {' '.join(f'WHEN {i} THEN {f}' for i, f in enumerate(fits))} ELSE false END)
+SELECT id, name, price, score, CASE WHEN level = 0 THEN 'exact' WHEN score >= 8 THEN 'close' WHEN score >= 4 THEN 'similar' ELSE 'loose' END AS tier FROM found ORDER BY score DESC, id LIMIT 20""")
+
+
+@query(_choice_sql())
 def relax_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.recommend(products(spark, sf_dir), INTENT, "id").select("id", "name", "price", "score", "tier")
 
@@ -543,7 +562,11 @@ def approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS provider, ts, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+walk AS (SELECT provider, k, CASE WHEN ok THEN 0 ELSE 1 END AS run, NULL::TIMESTAMP AS until, false AS refused FROM e WHERE k = 1
+  UNION ALL SELECT e.provider, e.k, CASE WHEN e.ts < w.until THEN w.run WHEN e.ok OR w.run + 1 >= 2 THEN 0 ELSE w.run + 1 END, CASE WHEN NOT coalesce(e.ts < w.until, false) AND NOT e.ok AND w.run + 1 >= 2 THEN e.ts + INTERVAL 1 DAY ELSE w.until END, coalesce(e.ts < w.until, false)
+  FROM walk w JOIN e ON e.provider = w.provider AND e.k = w.k + 1)
+SELECT provider, count(*) FILTER (refused) AS refused, count(*) AS attempts FROM walk GROUP BY provider""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("provider"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
     return E.breaker(e, "provider", "ok", failures=2, open_seconds=86400).groupBy("provider").agg(F.count(F.when(F.col("open"), 1)).alias("refused"), F.count(F.lit(1)).alias("attempts"))

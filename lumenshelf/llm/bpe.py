@@ -15,7 +15,7 @@ import base64
 import heapq
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -304,11 +304,11 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((path, read_ranks(path)))
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """All columns but `text`, with n_tokens and token_ids (binary, uint32 little-endian). Columns of these names are replaced."""
-    ranks = _vocabulary(df, vocabulary)
-    rest = _without(df, text, "n_tokens", "token_ids")
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _encoder(ranks, rest: list[str]) -> Run:
+    """Batches of the columns `rest` and a text -> those and n_tokens, token_ids."""
     spot = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,14 +323,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                 cols = [batch.column(i).slice(a, b - a) for i in range(spot)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=[*rest, "n_tokens", "token_ids"])
 
-    return df.select(*rest, F.col(text).cast("binary").alias(text)).mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """All columns, with the bytes that the ids stand for in `to`. Null ids give no bytes; an id outside the vocabulary is an error."""
-    ranks = _vocabulary(df, vocabulary)
-    rest = _without(df, ids, to)
-    schema = T.StructType([df.schema[c] for c in rest] + [df.schema[ids], T.StructField(to, T.BinaryType())])
+def _decoder(ranks, rest: list[str], ids: str, to: str) -> Run:
+    """Batches of the columns `rest` and packed ids -> those and what the ids stand for."""
     spot = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +343,29 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "de
                 cols = [batch.column(i).slice(a, b - a) for i in range(spot + 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.binary())], names=[*rest, ids, to])
 
-    return df.select(*rest, ids).mapInArrow(run, schema)
+    return run
+
+
+def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """All columns but `text`, with n_tokens and token_ids (binary, uint32 little-endian). Columns of these names are replaced."""
+    rest = _without(df, text, "n_tokens", "token_ids")
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())])
+    return df.select(*rest, F.col(text).cast("binary").alias(text)).mapInArrow(_encoder(_vocabulary(df, vocabulary), rest), schema)
+
+
+def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """All columns, with the bytes that the ids stand for in `to`. Null ids give no bytes; an id outside the vocabulary is an error."""
+    rest = _without(df, ids, to)
+    schema = T.StructType([df.schema[c] for c in rest] + [df.schema[ids], T.StructField(to, T.BinaryType())])
+    return df.select(*rest, ids).mapInArrow(_decoder(_vocabulary(df, vocabulary), rest, ids, to), schema)
+
+
+def encode_and_decode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "decoded") -> DataFrame:
+    """decode(encode(df)), in one Python worker a task instead of two."""
+    ranks, rest = _vocabulary(df, vocabulary), _without(df, text, "n_tokens", "token_ids", to)
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField(to, T.BinaryType())]
+    there, back = _encoder(ranks, rest), _decoder(ranks, [*rest, "n_tokens"], "token_ids", to)
+    return df.select(*rest, F.col(text).cast("binary").alias(text)).mapInArrow(lambda batches: back(there(batches)), T.StructType([df.schema[c] for c in rest] + made))
 
 
 def unpack(ids: str | Column = "token_ids") -> Column:

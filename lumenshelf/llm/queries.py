@@ -47,8 +47,7 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
-    back = bpe.decode(ids, vocabulary())
+    back = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

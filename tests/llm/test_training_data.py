@@ -475,6 +475,9 @@ def test_bpe_equals_library(spark, corpus):
         want = tool.encode_ordinary(t)
         assert np.frombuffer(bytes(r.token_ids), "<u4").tolist() == want and r.n_tokens == len(want)
         assert bytes(r.decoded) == t.encode()
+    once = bpe.encode_and_decode(df.withColumn("decoded", F.lit(1)), queries.vocabulary())
+    assert once.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "decoded"]
+    assert sorted((r.doc_id, r.n_tokens, bytes(r.token_ids), bytes(r.decoded)) for r in once.collect()) == sorted((r.doc_id, r.n_tokens, bytes(r.token_ids), bytes(r.decoded)) for r in got)
     assert bpe.encode(df.limit(0), queries.vocabulary()).count() == 0
     assert bpe.encode(df.limit(3), queries.vocabulary()).select(bpe.unpack()).first()[0] == tool.encode_ordinary(texts[0])
 

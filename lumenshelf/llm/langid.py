@@ -24,6 +24,7 @@ from .common import fresh
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+PIECE = 1 << 18  # bytes, or code points of a longer text, that are counted at a time
 LANGUAGES = 1000  # the matrix has at most LANGUAGES x BUCKETS cells
 
 
@@ -33,12 +34,17 @@ def clean(text: str | Column) -> Column:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all n-grams, number of them in each text). A text is framed by spaces."""
-    framed = [b" " + t + b" " for t in texts]
-    cp = np.frombuffer(b"".join(framed).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U)
-    size = np.fromiter((len(t.decode("utf-8", "replace")) for t in framed), np.int64, len(texts))
+    """(buckets of all n-grams, the text of each). A text is framed by spaces."""
+    framed = [(b" " + t + b" ").decode("utf-8", "replace") for t in texts]
+    size = np.fromiter(map(len, framed), np.int64, len(texts))
+    return _grams(np.frombuffer("".join(framed).encode("utf-32-le"), np.uint32), size, size)
+
+
+def _grams(cp: np.ndarray, size: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts laid end to end, the n-grams that begin at one of the first `own` places of each."""
     end = np.cumsum(size)
     last = np.repeat(end, size)  # where the text of each code point ends
+    until = np.repeat(end - size + own, size)
     at = np.arange(len(cp))
     out, where = [], []
     h = np.zeros(len(cp), U)
@@ -48,14 +54,31 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             break
         h = h[:m] * U(0x110001) + cp[n - 1 :] + U(1)
         if n in ORDERS:
-            ok = at[:m] + n <= last[:m]
-            out.append(mix(h[ok])[:] & U(BUCKETS - 1))
+            ok = (at[:m] + n <= last[:m]) & (at[:m] < until[:m])
+            out.append((mix(h[ok]) & U(BUCKETS - 1)).astype(np.int32))
             where.append(np.searchsorted(end, at[:m][ok], "right"))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out).astype(np.int64), np.concatenate(where)
 
 
+def pieces(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, buckets, text of each) of some texts at a time; a text of more than PIECE bytes comes in several pieces, so that
+    what a task holds doesn't grow with it."""
+    for a, b in row_chunks(raw, PIECE):
+        if b - a > 1 or len(raw[a]) <= PIECE:
+            yield a, b, *grams(raw[a:b])
+            continue
+        text = (b" " + raw[a] + b" ").decode("utf-8", "replace")
+        for i in range(0, len(text), PIECE):
+            part = np.frombuffer(text[i : i + PIECE + max(ORDERS) - 1].encode("utf-32-le"), np.uint32)
+            yield a, b, *_grams(part, np.array([len(part)]), np.array([min(PIECE, len(part))]))
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(x, return_counts=True)
+
+
 def train(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, matrix of log-probabilities by bucket and language), from all rows with a language."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -69,9 +92,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
         for batch in small(batches):
             raw = [x or b"" for x in batch.column(0).to_pylist()]
             tag = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
-            for a, b in row_chunks(raw, 1 << 18):
-                bucket, row = grams(raw[a:b])
-                total += np.bincount(tag[a + row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
+            for a, _, bucket, row in pieces(raw):
+                np.add.at(total.reshape(-1), *_counted(tag[a + row] * BUCKETS + bucket))
         one, two = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(one, pa.int32()), pa.array(two, pa.int32()), pa.array(total[one, two], pa.int64())], names=["l", "b", "n"])
 
@@ -94,13 +116,15 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
     def some(raw: list[bytes], table: np.ndarray) -> pa.StructArray:
         best, score = np.full(len(raw), -1), np.zeros(len(raw))
-        for a, b in row_chunks(raw, 1 << 18) if k else []:
-            bucket, row = grams(raw[a:b])
-            n = np.bincount(row, minlength=b - a)
-            like = np.stack([np.bincount(row, weights=table[bucket, j], minlength=b - a) for j in range(k)], axis=1)
+        if k and raw:
+            n, like = np.zeros(len(raw), np.int64), np.zeros((len(raw), k))
+            for a, b, bucket, row in pieces(raw):
+                n[a:b] += np.bincount(row, minlength=b - a)
+                for j in range(k):
+                    like[a:b, j] += np.bincount(row, weights=table[bucket, j], minlength=b - a)
             like /= np.maximum(1, n / 64)[:, None]
             p = np.exp(like - like.max(axis=1, keepdims=True))
-            best[a:b], score[a:b] = p.argmax(axis=1), 1 / p.sum(axis=1)
+            best[:], score[:] = p.argmax(axis=1), 1 / p.sum(axis=1)
         no = np.array([not t.strip() for t in raw], bool) | (best < 0)
         score[no] = 0
         lang = ["und" if x else names[i] for x, i in zip(no.tolist(), best.tolist(), strict=True)]

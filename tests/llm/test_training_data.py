@@ -104,6 +104,58 @@ def test_langid_edges(spark, corpus):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_langid_equals_brute_force(spark, monkeypatch):
+    """Counts, probabilities and posteriors by dictionaries, text by text; and long texts that are counted in pieces."""
+    rng = random.Random(13)
+    vocabulary = {"aa": ["der", "die", "größe", "und"], "bb": ["the", "of", "thing", "naïve"], "cc": ["漢字", "かな", "のは"]}
+    rows = [(i, " ".join(rng.choice(w) for _ in range(rng.randrange(1, 60))) + rng.choice(["", " 1", "!"]), x if i % 3 else None) for i, (x, w) in enumerate(list(vocabulary.items()) * 20)]
+    rows += [(60, " ".join(rng.choice(vocabulary["bb"]) for _ in range(4000)), "bb"), (61, "", "aa"), (62, None, "bb"), (63, "the", "bb"), (63, "the", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def brute_grams(text):
+        t = " " + re.sub(r"[^\w]|[\d_]", "\0", (text or "").lower())
+        t = re.sub("\0+", " ", t + " ") if text is not None else "  "
+        t = " " + re.sub(" +", " ", t[1:-1]) + " "
+        out = []
+        for n in langid.ORDERS:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * 0x110001 + ord(c) + 1) % 2**64
+                out.append(int(langid.mix(np.array([h], np.uint64))[0]) % langid.BUCKETS)
+        return out
+
+    counts = {x: {} for x in vocabulary}
+    for _, t, x in rows:
+        if x and t is not None:
+            for g in brute_grams(t):
+                counts[x][g] = counts[x].get(g, 0) + 1
+    size = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    want = {}
+    for i, t, _ in rows:
+        if t and re.search(r"[^\W\d_]", t):
+            g = brute_grams(t)
+            like = {x: sum(math.log(counts[x].get(b, 0) + 0.5) - math.log(size[x]) for b in g) / max(1, len(g) / 64) for x in counts}
+            top = max(like, key=like.get)
+            want[i] = (top, 1 / sum(math.exp(v - like[top]) for v in like.values()))
+        else:
+            want[i] = ("und", 0.0)
+    for piece in (langid.PIECE, 100):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        few = [t.encode() for _, t, _ in rows if t]
+        got = [np.bincount(b[r == 0] if j - a == 1 else b, minlength=langid.BUCKETS) for a, j, b, r in langid.pieces(few)]
+        assert sum(x.sum() for x in got) == sum(len(langid.grams([t])[0]) for t in few)
+        assert np.array_equal(sum(got), np.bincount(langid.grams(few)[0], minlength=langid.BUCKETS))
+    monkeypatch.undo()
+    names, matrix = langid.train(df)
+    assert names == sorted(vocabulary)
+    for j, x in enumerate(names):
+        assert abs(np.exp(matrix[:, j]).sum() - 1) < 1e-9
+        assert all(abs(matrix[g, j] - (math.log(counts[x].get(g, 0) + 0.5) - math.log(size[x]))) < 1e-9 for g in range(0, langid.BUCKETS, 97))
+    for r in langid.predict(df, (names, matrix)).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
 # --- fingerprints --------------------------------------------------------------------------------------------------------
 
 

@@ -193,3 +193,39 @@ def notification(name: str | Column, old: str | Column, new: str | Column, curre
     """(text, per cent) of a price drop."""
     pct = F.floor((col(old) - col(new)) / col(old) * 100 + 0.5).cast("int")
     return F.concat(col(name), F.lit(" dropped "), pct.cast("string"), F.lit("%: "), number_text(old), F.lit(" to "), number_text(new), F.lit(" "), col(currency)), pct
+
+
+#: Words that may follow an alternative that is cut, kinds of cut that catalogs don't know, garments that they don't have.
+ANCHORS = ["tailored", "structured", "embroidered", "plain", "printed", "unstitched", "stitched", "velvet", "chiffon", "lawn", "cotton", "silk", "kurta", "shalwar-kameez", "lehenga", "saree", "abaya", "western", "co-ord"]
+REGIONAL = ["sharara", "gharara", "anarkali", "angrakha"]
+NOT_SOLD = ["maxi dress", "maxi", "gown", "long frock", "frock", "tunic", "palazzo", "sherwani"]
+
+
+def _tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def without_alternatives(text: str | Column) -> Column:
+    """`pink or mint green lawn` -> `pink lawn`: the first alternative stays, where a known word follows the second."""
+    pattern = rf"(?i)^(.*?)\b(\w+(?:\s\w+)?)\s+or\s+(\w+(?:\s\w+)?)\s+(?=(?:{'|'.join(ANCHORS)}|for\s|\d+-piece))"
+    return _tidy(F.regexp_replace(col(text), pattern, "$1$2 "))
+
+
+def without_regional(text: str | Column) -> Column:
+    return _tidy(F.regexp_replace(col(text), rf"(?i)\b({'|'.join(REGIONAL)})(-style)?\s+", ""))
+
+
+def with_sold_garments(text: str | Column, dress_style: str | Column) -> Column:
+    """Garments that no catalog has become the style that is looked for; a word that then stands twice stands once. Without a style
+    nothing changes."""
+    style, out = col(dress_style), col(text)
+    safe = F.regexp_replace(style, r"([\\$])", r"\\$1")
+    for word in NOT_SOLD:
+        out = F.regexp_replace(out, F.lit(rf"(?i)\b{word}\b"), safe)
+    once = F.regexp_replace(out, r"(?i)\b(\w+)(\s+\1)+\b", "$1")
+    return F.when(F.coalesce(style, F.lit("")) == "", col(text)).otherwise(_tidy(once))
+
+
+def search_prompt(text: str | Column, dress_style: str | Column) -> Column:
+    """A query text as catalogs understand it: alternatives, regional cuts and garments that aren't sold are taken out."""
+    return with_sold_garments(without_regional(without_alternatives(text)), dress_style)

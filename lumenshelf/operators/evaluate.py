@@ -89,3 +89,20 @@ def quantile_of_buckets(hist: DataFrame, q: float, by: str) -> DataFrame:
     hit = marked.where((F.col("n") >= q * F.col("total")) & (F.col("below") < q * F.col("total")))
     inside = F.col("low") + (F.col("le") - F.col("low")) * (q * F.col("total") - F.col("below")) / (F.col("n") - F.col("below"))
     return hit.select(by, F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside).alias("quantile"))
+
+
+def copies(df: DataFrame, key: str) -> DataFrame:
+    """(rows, ids, repeated): how many rows came, of how many ids, and how many of them again."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("ids")).withColumn("repeated", F.col("rows") - F.col("ids"))
+
+
+def needs_refinement(least_score: float = 0.52) -> Column:
+    """Whether a listing's fields should be filled in from its text: there is text enough to read (25 characters), and two of five fields are
+    empty, the garments of a set are missing or too few, or its metadata score is low. Expected columns: description, tags, gender,
+    piece_type, stitching, dress_style, pattern, includes, pieces, metadata_score."""
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    text = F.length(F.coalesce("description", F.lit(""))) + F.length(F.array_join(tags, " "))
+    empty = sum((F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", 1).otherwise(0) for c in ("gender", "piece_type", "stitching", "dress_style", "pattern")), F.lit(0))
+    listed = F.size(F.coalesce("includes", F.array().cast("array<string>")))
+    few = F.coalesce(F.col("piece_type").contains("piece") & (F.col("pieces") > 0) & (listed < F.least(F.col("pieces"), F.lit(3))), F.lit(False))
+    return (text >= 25) & ((empty >= 2) | (listed == 0) | few | (F.coalesce("metadata_score", F.lit(0.0)) < least_score))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import color
 from ..functions import vector as V
 from ..functions.text import col, query_words
 
@@ -147,3 +148,64 @@ def keep_if_enough(df: DataFrame, condition: Column, least: int = 3) -> DataFram
     """The rows that meet the condition if there are `least` of them, else all rows."""
     n = F.broadcast(df.where(condition).limit(least).agg(F.count(F.lit(1)).alias("_n")))  # one row
     return df.crossJoin(n).where((F.col("_n") < least) | F.coalesce(condition, F.lit(False))).drop("_n")
+
+
+def presorted(df: DataFrame, first: Column, then: Column, key: str, keep: int = 20, limit: int = 10) -> DataFrame:
+    """The `keep` best rows by the first score, ranked by the second one (`score`, `rank`), of which `limit` stay. Ties by key."""
+    best = df.withColumn("_first", first).orderBy(F.desc("_first"), key).limit(keep)
+    by = Window.orderBy(F.desc("score"), key)  # of `keep` rows
+    return best.withColumn("score", then).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).drop("_first")
+
+
+def widen(ranked: DataFrame, group: str, rank: str, accepted: Column, want: int, first: int | None = None, rounds: int = 3) -> DataFrame:
+    """For each group (a request) the smallest of the pools of the first c, 2c, 4c, ... rows by rank that has enough accepted ones, or the last pool.
+    Of it the first `want` accepted rows, with `pool` (its rows) and `round`. Enough: `want`, or all of a pool that is smaller than that.
+    Rows are ranked and counted once; no pool is fetched again."""
+    first = first or max(3 * want, 15)
+    sizes = [first * 2**i for i in range(rounds)]
+    order = Window.partitionBy(group).orderBy(rank)
+    counted = ranked.withColumns({"_at": F.row_number().over(order), "_ok": F.coalesce(accepted, F.lit(False))}).where(F.col("_at") <= sizes[-1])
+    totals = counted.groupBy(group).agg(F.count(F.lit(1)).alias("_all"), *(F.count_if(F.col("_ok") & (F.col("_at") <= n)).alias(f"_n{n}") for n in sizes))
+    whole = [F.least(F.lit(n), F.col("_all")) for n in sizes]
+    enough = [(F.col(f"_n{n}") >= F.least(F.lit(want), w)) | (w == F.col("_all")) for n, w in zip(sizes, whole, strict=True)]
+    turn = F.coalesce(*(F.when(e, F.lit(i + 1)) for i, e in enumerate(enough)), F.lit(rounds))
+    chosen = totals.select(group, turn.alias("round"), F.element_at(F.array(*whole), turn).cast("int").alias("pool"))
+    kept = counted.join(chosen, group).where(F.col("_ok") & (F.col("_at") <= F.col("pool")))
+    return kept.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= want).drop("_at", "_ok", "_k")
+
+
+def colour_or_keyword(colors: list[str], keywords: list[str], most: int = 5) -> Column:
+    """Rows in stock that have one of the colours in one of four fields, or one of the first keywords in name, tags or description; patterns,
+    without regard to case. Nothing asked for finds nothing."""
+    like = lambda p: lambda x: x.rlike(p)
+    tests = []
+    for c in (c for c in colors if c):
+        p = f"(?i){c}"
+        tests += [F.col("primary_color").rlike(p), F.col("primary_exact_color").rlike(p), F.exists("exact_colors", like(p)), F.exists("colors", like(p))]
+    for k in (k for k in keywords[:most] if k):
+        p = f"(?i){k}"
+        tests += [F.col("name").rlike(p), F.exists("tags", like(p)), F.col("description").rlike(p)]
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out & ~F.coalesce(~F.col("in_stock"), F.lit(False))
+
+
+#: Words that tell the catalog of what a photo shows.
+PHOTO = [
+    ("shoes", r"\b(shoe|heel|pump|stiletto|sandal|chappal|sneaker|trainer|jogger|boot|loafer|flat|wedge|mule|slipper|khussa|kolhapuri|peshawari|oxford|clog|espadrille)s?\b"),
+    ("jewelry", r"\b(earring|jhumka|chandbali|necklace|choker|mala|pendant|bracelet|bangle|kada|ring|nose[- ]?pin|nath|tikka|jhoomar|passa|anklet|payal|brooch|cufflink|jewel(?:le)?ry)s?\b"),
+    ("watches", r"\b(watch|wristwatch|chronograph|smartwatch)(?:es)?\b"),
+]
+
+
+def photo_catalog(category: str | Column, keywords: Column) -> Column:
+    """The one catalog that a described photo belongs to."""
+    text = F.lower(F.concat_ws(" ", col(category), F.array_join(keywords, " ")))
+    return F.coalesce(*(F.when(text.rlike(p), F.lit(name)) for name, p in PHOTO), F.lit("clothing"))
+
+
+def photo_colors(text: str | Column, what: str = "colors", most: int = 2) -> Column:
+    """At most two colour families ("colors") or shades ("shades") that a colour text names; none if it names only several colours."""
+    found = color.infer(text)
+    return F.when(found["primary_shade"].isin("multi", "multicolor", "multi color", "multi colour", "multicolour"), F.array().cast("array<string>")).otherwise(F.slice(found[what], 1, most))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, filters, outfits, probes
+from ..operators import audit, evaluate, extras, filters, outfits, probes, search, smoke
 from ..session import shared_folder
 from ..sources import brands, selectors
 from ..streaming import worker
-from .catalog import HARD, INTENT, ORACLE_SQL, QUERIES, SOFT, query, with_products
+from .catalog import HARD, INTENT, ORACLE_SQL, PAIRS, QUERIES, SOFT, query, with_products
 from .products import products, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # all queries, those of `catalog` included
@@ -246,3 +246,105 @@ SELECT hero_id, place::INT AS place, role, slot, id, score FROM p WHERE place <=
 def outfit_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     clothes = wardrobe(spark, sf_dir)
     return outfits.complete(clothes, clothes.where("id % 50 = 0"), "id").select("hero_id", "place", "role", "slot", "id", "score")
+
+
+# --- accessories, pools, smoke checks -------------------------------------------------------------------------------------
+
+
+def trinkets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` as accessories."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda c, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (c % len(values) + 1).cast("int"))
+    occasion = F.when(k % 4 == 0, F.array(F.lit("party"), F.lit("eid"))).when(k % 4 == 1, F.array(F.lit("casual"))).when(k % 4 == 2, F.array().cast("array<string>"))
+    shade = F.initcap(F.split("p_name", " ")[0])
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.when(shade.isin("Red", "Blue"), shade).otherwise("Multicolor").alias("primary_color"), F.lit(None).cast("array<string>").alias("colors"), occasion.alias("occasion"),
+        (size % 10 != 0).alias("in_stock"), F.when(k % 3 == 0, "men").when(k % 3 == 1, "women").otherwise("unisex").alias("gender"), pick(size, "heel", "flat", "sandal", "sneaker", "khussa", None).alias("shoe_type"),
+        pick(size, "jhumka", "stud", "choker", "ring", None).alias("jewelry_type"), pick(size, "ear", "ear", "neck", "hand", None).alias("jewelry_category"), pick(size, "dress", "sports", "digital", None).alias("watch_type"), F.lit(None).cast("string").alias("dial_color"),
+        F.col("p_type").alias("type"),
+    )
+
+
+TRINKETS = """WITH w AS (SELECT p_partkey AS id, p_retailprice AS price, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'Red' WHEN 'blue' THEN 'Blue' ELSE 'Multicolor' END AS tone, CASE p_partkey % 4 WHEN 0 THEN ['party', 'eid'] WHEN 1 THEN ['casual'] WHEN 2 THEN []::VARCHAR[] END AS occ, p_size % 10 <> 0 AS stock,
+CASE p_partkey % 3 WHEN 0 THEN 'men' WHEN 1 THEN 'women' ELSE 'unisex' END AS gender, ['heel', 'flat', 'sandal', 'sneaker', 'khussa', NULL][p_size % 6 + 1] AS shoe, coalesce(['jhumka', 'stud', 'choker', 'ring', NULL][p_size % 5 + 1], 'other') AS jewel, coalesce(['dress', 'sports', 'digital', NULL][p_size % 4 + 1], '') AS watch, p_type AS type, p_name AS name FROM part)"""
+
+
+@query(f"""{TRINKETS}, f AS (SELECT *, tone = 'Green' AS c, coalesce(list_has_any(occ, ['eid']), false) OR occ IS NULL OR len(occ) = 0 AS o, coalesce(shoe IN ('heel', 'stiletto', 'block-heel', 'court-shoe', 'pump'), false) AS t FROM w WHERE stock AND gender IN ('women', 'unisex') AND price <= 1000),
+s AS (SELECT *, CASE WHEN c AND o AND t THEN 0 WHEN o AND t THEN 1 WHEN t THEN 2 ELSE 3 END AS step FROM f), m AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM s WHERE step = (SELECT min(step) FROM s)),
+p AS (SELECT *, CASE WHEN tone IN ('Green', 'Blue') THEN 3 ELSE 0 END + CASE WHEN coalesce(list_contains(occ, 'eid'), false) THEN 2 ELSE 0 END + 1 AS score FROM m WHERE n <= 100),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM p) SELECT id, score::INT AS score, rank, step, ['colour', 'occasion', 'high heels'][step] AS relaxed FROM r WHERE rank <= 30""")
+def accessory_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wish = extras.Wish(kind="high heels", color="Green", families=("Green", "Blue"), occasion=("eid",), gender="women", max_budget=1000)
+    return extras.only(trinkets(spark, sf_dir), wish, "shoes", "id").select("id", "score", "rank", "step", "relaxed")
+
+
+@query(f"""{TRINKETS}, b AS (SELECT * FROM w WHERE stock AND gender IN ('men', 'unisex') AND price <= 1215)
+SELECT 'narrow' AS pool, id FROM b WHERE watch IN ('sports') OR (SELECT count(*) FROM b WHERE watch IN ('sports')) < 5 UNION ALL SELECT 'wide', id FROM b WHERE watch IN ('pocket') OR (SELECT count(*) FROM b WHERE watch IN ('pocket')) < 5""")
+def accessory_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trinkets(spark, sf_dir)
+    of = lambda name, types: extras.pool(rows, "watches", types, "watch_type", "men", 900).select(F.lit(name).alias("pool"), "id")
+    return of("narrow", ["sports"]).union(of("wide", ["pocket"]))
+
+
+@query(f"""{TRINKETS}, pairs(a, b, s) AS (VALUES {PAIRS}), d AS (SELECT id AS dress, tone AS dt, coalesce(occ, []) AS docc FROM w WHERE type = 'LARGE'), j AS (SELECT * FROM w WHERE type = 'PROMO'),
+m AS (SELECT dress, id AS item, jewel AS kind, round(round(s * 0.45 + CASE WHEN list_has_any(docc, coalesce(occ, [])) THEN 0.35 ELSE 0.12 END * CASE WHEN jewel IN ('jhumka', 'choker') THEN 1.2 ELSE 1.0 END, 3) * CASE WHEN jewel IN ('jhumka', 'choker') THEN 1.18 WHEN jewel = 'stud' THEN 0.92 ELSE 1.0 END, 3)::DOUBLE AS score
+  FROM d, j JOIN pairs ON b = j.tone WHERE a = d.dt),
+r AS (SELECT *, row_number() OVER (PARTITION BY dress ORDER BY score DESC, item) AS k FROM m), t AS (SELECT r.*, row_number() OVER (PARTITION BY dress, kind ORDER BY k) AS n FROM r WHERE k > 2),
+u AS (SELECT dress, item, kind, score, k FROM r WHERE k <= 2 UNION ALL SELECT dress, item, kind, score, k FROM t WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.dress = t.dress AND r.k <= 2 AND r.kind = t.kind)),
+p AS (SELECT *, row_number() OVER (PARTITION BY dress ORDER BY k) AS place FROM u) SELECT dress, item, kind, score, place::INT AS place FROM p WHERE place <= 5""")
+def jewelry_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trinkets(spark, sf_dir)
+    dresses = rows.where("type = 'LARGE'").withColumnRenamed("id", "dress")
+    return extras.jewelry_sets(dresses, rows.where("type = 'PROMO'").withColumnRenamed("id", "item"), "dress", "item", ("wedding",), ("statement_jewelry",))
+
+
+@query(f"""{TRINKETS}, pairs(a, b, s) AS (VALUES {PAIRS}), m AS (SELECT d.id AS dress, x.id AS item, round(s * 0.45 + CASE WHEN list_has_any(coalesce(x.occ, []), ['casual', 'party']) THEN 0.35 ELSE 0.15 END + CASE WHEN x.watch IN ('sports', 'digital') THEN 0.2 ELSE 0.1 END, 3)::DOUBLE AS score
+  FROM w d JOIN w x ON d.type = 'LARGE' AND x.type = 'SMALL' JOIN pairs ON a = d.tone AND b = x.tone)
+SELECT dress, item, score FROM (SELECT *, row_number() OVER (PARTITION BY dress ORDER BY score DESC, item) AS k FROM m) WHERE k = 1""")
+def watch_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = trinkets(spark, sf_dir)
+    return extras.watches(rows.where("type = 'LARGE'").withColumnRenamed("id", "dress"), rows.where("type = 'SMALL'").withColumnRenamed("id", "item"), "dress", "item", ("casual", "party"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_partkey, p_size % 9 = 0 AND substr(p_brand, 7)::INT % 4 <> 3 OR p_size = 50 AS ok, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS spot, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+c AS (SELECT p_brand, max(n) AS n, count(*) FILTER (ok AND spot <= 15) AS a, count(*) FILTER (ok AND spot <= 30) AS b FROM r GROUP BY p_brand),
+t AS (SELECT p_brand, CASE WHEN a >= least(3, n) OR n <= 15 THEN 1 WHEN b >= least(3, n) OR n <= 30 THEN 2 ELSE 3 END AS round, n FROM c), p AS (SELECT *, least(n, 15 * (1 << (round - 1)))::INT AS pool FROM t),
+k AS (SELECT r.p_brand, p_partkey, round, pool, row_number() OVER (PARTITION BY r.p_brand ORDER BY spot) AS k FROM r JOIN p USING (p_brand) WHERE ok AND spot <= pool) SELECT p_brand, p_partkey, round, pool FROM k WHERE k <= 3""")
+def widen_and_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts for each brand, from as few of its dearest as will do."""
+    part = table(spark, sf_dir, "part")
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")))
+    ok = ((F.col("p_size") % 9 == 0) & (F.substring("p_brand", 7, 3).cast("int") % 4 != 3)) | (F.col("p_size") == 50)
+    return search.widen(ranked, "p_brand", "rank", ok, want=3).select("p_brand", "p_partkey", "round", "pool")
+
+
+@query("""WITH b AS (SELECT *, p_size % 10 <> 0 AS stock FROM part), s AS (
+  SELECT 'dear' AS search, * FROM (SELECT p_type AS catalog, stock, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS position FROM b) WHERE position <= 40
+  UNION ALL SELECT 'stocked', * FROM (SELECT p_type, stock, row_number() OVER (ORDER BY p_partkey) AS position FROM b WHERE stock) WHERE position <= 10
+  UNION ALL SELECT 'none', p_type, stock, 1 FROM b WHERE p_name = 'no such name'),
+g AS (SELECT search, count(*) AS n, count(*) FILTER (NOT stock) AS sold_out, arg_min(catalog, position) AS top FROM s GROUP BY search)
+SELECT search, 'sold out' AS problem, sold_out || ' returned' AS detail, n AS results FROM g WHERE sold_out > 0
+UNION ALL SELECT search, 'wrong catalog', top || ' instead of HATS', n FROM g WHERE search = 'dear'
+UNION ALL SELECT 'none', 'no results', '', 0 WHERE NOT EXISTS (SELECT 1 FROM g WHERE search = 'none')""")
+def smoke_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", F.col("p_type").alias("catalog"), (F.col("p_size") % 10 != 0).alias("in_stock"))
+    placed = lambda df, n, *order: df.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  of n rows
+    searches = [
+        smoke.Search("dear", placed(b, 40, F.desc("p_retailprice"), F.col("p_partkey")), "HATS"),
+        smoke.Search("stocked", placed(b.where("in_stock"), 10, F.col("p_partkey"))),
+        smoke.Search("none", placed(b.where("p_name = 'no such name'"), 10, F.col("p_partkey")), "SMALL"),
+    ]
+    return smoke.check(spark, searches)
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size % 10 <> 0 AND (regexp_matches(p_name, '^red') OR regexp_matches(p_name, 'gear') OR regexp_matches(p_type, '(?i)promo'))""")
+def colour_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.initcap(F.split("p_name", " ")[0])
+    none = F.lit(None).cast("array<string>")
+    rows = table(spark, sf_dir, "part").withColumns({"primary_color": first, "primary_exact_color": F.lower(first), "exact_colors": none, "colors": F.array(first), "name": F.col("p_name"), "tags": F.array("p_type"), "description": F.lit(None).cast("string"), "in_stock": F.col("p_size") % 10 != 0})
+    return rows.where(search.colour_or_keyword(["RED"], ["Gear", "promo", "", "zz", "qq", "ring"])).select("p_partkey")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT event_id % 1000) AS ids, count(*) - count(DISTINCT event_id % 1000) AS repeated FROM events")
+def event_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.copies(table(spark, sf_dir, "events").withColumn("id", F.col("event_id") % 1000), "id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,3 +211,41 @@ def photo_colors(text: str | Column, what: str = "colors", most: int = 2) -> Col
     """At most two colour families ("colors") or shades ("shades") that a colour text names; none if it names only several colours."""
     found = color.infer(text)
     return F.when(found["primary_shade"].isin("multi", "multicolor", "multi color", "multi colour", "multicolour"), F.array().cast("array<string>")).otherwise(F.slice(found[what], 1, most))
+
+
+CELL_ROWS, CELL_QUERIES = 50_000, 2_000
+
+
+def matrix_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, label: str, bonus: Callable[[np.ndarray, np.ndarray], np.ndarray], weight: float = 0.5, digits: int = 3, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> DataFrame:
+    """(query_id, key, score, rank): for each query the k best rows by weight * cosine + bonus, rounded half up; ties by key; a row isn't its own match.
+    bonus(labels of queries, labels of rows) gives a matrix. Both sides are dealt to cells of a bounded size; each pair of cells is
+    one product of two matrices, of which the k best rows a query go on: pairs of rows are never written. Rows without a vector, or
+    with an empty one, match nothing."""
+    pick = lambda df: df.where((F.size(vector) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))
+    mine, theirs = pick(queries), pick(rows)
+    across, down = max(1, -(-mine.count() // cell_queries)), max(1, -(-theirs.count() // cell_rows))
+    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = mine.withColumn("_q", cell(across)).withColumn("_r", every(down))
+    right = theirs.withColumn("_r", cell(down)).withColumn("_q", every(across))
+
+    def matrix(t: pa.Table) -> np.ndarray:
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return flat / np.maximum(np.sqrt((flat * flat).sum(axis=1)), 1e-300)[:, None]
+
+    def best(q: pa.Table, r: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if q.num_rows and r.num_rows:
+            ids, own = r.column("id").to_numpy(), q.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            scores = weight * (matrix(q) @ matrix(r).T) + bonus(np.array(q.column("l").to_pylist()), np.array(r.column("l").to_pylist()))
+            scores = (np.floor(scores * 10**digits + 0.5) / 10**digits)[:, order]
+            scores[own[:, None] == ids[order][None, :]] = -np.inf
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores in the order of ids
+            out = [(a, int(ids[order[j]]), float(scores[i, j])) for i, a in enumerate(own.tolist()) for j in top[i].tolist() if scores[i, j] > -np.inf]
+        names = ["query_id", "id", "score"]
+        return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True))})
+
+    met = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(best, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(key), "score", "rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, evaluate, extras, filters, outfits, probes, search, smoke
+from ..operators import audit, evaluate, extras, filters, intents, outfits, probes, search, smoke
 from ..session import shared_folder
 from ..sources import brands, selectors
 from ..streaming import worker
@@ -348,3 +348,29 @@ def colour_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS rows, count(DISTINCT event_id % 1000) AS ids, count(*) - count(DISTINCT event_id % 1000) AS repeated FROM events")
 def event_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.copies(table(spark, sf_dir, "events").withColumn("id", F.col("event_id") % 1000), "id")
+
+
+# --- requests --------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 7 AS k, conv_id % 3 AS g FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 5 THEN 'shoes' WHEN k = 4 THEN 'watches' ELSE 'clothing' END AS search_catalog, CASE k WHEN 0 THEN 'Red' WHEN 1 THEN 'Teal' WHEN 2 THEN 'Blue' ELSE 'Any' END AS color,
+CASE WHEN k = 2 THEN 3 END::INT AS pieces, CASE WHEN g = 1 THEN 'men' WHEN g = 2 THEN 'women' ELSE 'unisex' END AS gender, CASE k WHEN 0 THEN 'saree' WHEN 2 THEN 'kurta' END AS dress_style, CASE WHEN k = 0 THEN 4500.5 ELSE 0 END::DOUBLE AS max_budget,
+CASE k WHEN 0 THEN 'occasion,color' WHEN 1 THEN 'color,occasion' WHEN 2 THEN 'fabric,color' WHEN 3 THEN 'print,season,color' ELSE 'occasion' END AS priority FROM c""")
+def request_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as messages, each with what a model may have made of it."""
+    c = table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    gender = F.when(F.col("conv_id") % 3 == 1, "men").when(F.col("conv_id") % 3 == 2, "kids").otherwise("unisex")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"color": "Red", "occasion": ["wedding"], "piece": "Silk Saree", "maxBudget": 4500.5, "gender": "'), gender, F.lit('"}')))
+        .when(k == 1, F.concat(F.lit('{"color": "Any", "shade": "Ferozi", "pieces": 9, "dressStyle": "other", "gender": "'), gender, F.lit('"}')))
+        .when(k == 2, F.concat(F.lit('{"color": "dark Blue", "pieces": 3, "dressStyle": "Kurta", "constraintPriority": ["fabric", "Color", "junk", "fabric"], "gender": "'), gender, F.lit('"}')))
+        .when(k == 3, F.concat(F.lit('{"maxBudget": "many", "season": "monsoon", "constraintPriority": ["color"], "gender": "'), gender, F.lit('"}')))
+        .when(k == 4, F.concat(F.lit('{"searchCatalog": "Watch", "gender": "'), gender, F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"gender": "'), gender, F.lit('"}')))
+    )
+    message = F.concat(F.when(k == 5, "7 heels").otherwise("a dress"), F.when(F.col("conv_id") % 3 == 1, " for my husband").otherwise(""))
+    rows = c.select("conv_id", "turn", raw.alias("raw"), message.alias("message"), F.when(k == 3, "embroidery first, then the season").alias("hint"))
+    made = intents.intents(rows, hint="hint")
+    return made.select("conv_id", "turn", "search_catalog", "color", "pieces", "gender", "dress_style", "max_budget", F.array_join("priority", ",").alias("priority"))

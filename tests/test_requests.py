@@ -59,3 +59,58 @@ def test_quota_window_starts_with_first_hit(spark):
     df = spark.createDataFrame([("a", s) for s in (5, 10, 70, 80, 140)], "caller string, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = requests.quota(df, "caller", window_seconds=60, limit=1).orderBy("s").collect()
     assert [(r.n, r.allowed) for r in got] == [(1, True), (2, False), (1, True), (2, False), (1, True)]
+
+
+def test_intents_as_rows(spark):
+    from lumenshelf.operators import intents
+
+    rows = [
+        ('{"color": "bottle green", "shade": "mint", "occasion": ["Wedding"], "fabric": "Silk", "pieces": 2, "style": ["x"]}', "silk for men's wedding", None),
+        ('{"gender": "men", "piece": "long maxi", "stitching": "null", "print": "weird", "season": "Winter"}', "kurta for my brother", "colour over fabric"),
+        ('{"gender": "men", "constraintPriority": ["Season", "season", "x"]}', "a plain kurta", ""),
+        ("{broken", "gold jhumka", None),
+        (None, None, None),
+        ('{"searchCatalog": "Jewellery", "pieces": 2.5, "maxBudget": "5000", "gender": "kids"}', "ring and heels for a toddler", None),
+    ]
+    df = spark.createDataFrame([(i, *r, "clash") for i, r in enumerate(rows)], "id int, raw string, message string, hint string, color string")
+    got = intents.intents(df, hint="hint").orderBy("id").collect()
+    assert [(r.search_catalog, r.color, r.shade, r.gender, r.pieces) for r in got] == [("clothing", "Green", "mint", "women", 2), ("clothing", "Any", None, "men", None), ("clothing", "Any", None, "women", None), ("jewelry", "Any", None, "women", None), ("clothing", "Any", None, "women", None), ("jewelry", "Any", None, "kids", None)]
+    assert [r.priority for r in got] == [["occasion", "color", "pieces", "fabric"], ["color", "fabric"], ["season"], ["occasion"], ["occasion"], ["occasion"]]
+    assert (got[1].dress_style, got[1].stitching, got[1].print, got[1].season) == ("maxi", None, None, "winter")
+    assert got[0].style == ["x"] and got[3].occasion == ["casual"] and got[3].max_budget == 0 and got[3].summary == "gold jhumka"
+    assert intents.intents(df.limit(0)).count() == 0
+
+
+def test_quota_of_many_hits(spark):
+    import random
+
+    rng = random.Random(2)
+    hits = [(rng.choice(["a", "b", None]), float(rng.randrange(5000))) for _ in range(3000)]
+    df = spark.createDataFrame(hits, "caller string, s double").withColumn("ts", F.timestamp_seconds("s"))
+    got = requests.quota(df, "caller", window_seconds=60, limit=10).collect()
+    for who in ("a", "b", None):
+        start, n, want = float("-inf"), 0, []
+        for s in sorted(s for c, s in hits if c == who):
+            start, n = (s, 1) if s >= start + 60 else (start, n + 1)
+            want.append((s, n, n <= 10))
+        assert sorted((r.s, r.n, r.allowed) for r in got if r.caller == who) == want
+
+
+def test_matrix_topk_in_cells(spark):
+    import numpy as np
+
+    from lumenshelf.operators import search
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(150, 8))
+    v[7] = v[3]
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)] + [(500, None, 1), (501, [], 1)], "id long, v array<double>, l int")
+    bonus = lambda a, b: 0.1 * (a[:, None] == b[None, :])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    score = np.floor((0.5 * unit @ unit.T + 0.1 * (np.arange(150)[:, None] % 3 == np.arange(150)[None, :] % 3)) * 1000 + 0.5) / 1000
+    for cells in ((50_000, 2_000), (40, 7)):
+        got = search.matrix_topk(df, df.where("id % 10 = 3 or id > 400"), "id", "v", 4, "l", bonus, cell_rows=cells[0], cell_queries=cells[1]).collect()
+        for q in range(3, 150, 10):
+            want = sorted((i for i in range(150) if i != q), key=lambda i: (-score[q, i], i))[:4]
+            assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+        assert {r.query_id for r in got} == set(range(3, 150, 10))

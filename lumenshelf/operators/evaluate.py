@@ -106,3 +106,44 @@ def needs_refinement(least_score: float = 0.52) -> Column:
     listed = F.size(F.coalesce("includes", F.array().cast("array<string>")))
     few = F.coalesce(F.col("piece_type").contains("piece") & (F.col("pieces") > 0) & (listed < F.least(F.col("pieces"), F.lit(3))), F.lit(False))
     return (text >= 25) & ((empty >= 2) | (listed == 0) | few | (F.coalesce("metadata_score", F.lit(0.0)) < least_score))
+
+
+def profile(df: DataFrame, faults: dict[str, Column], price: str = "price", brand: str = "brand", name: str = "name", stock: str = "in_stock") -> DataFrame:
+    """(measure, n, share) of a catalog: rows, brands, in stock, each fault, prices a tenth of the median or ten times it, and groups of rows with
+    one brand and name. The median is exact; the rest is one pass and one grouped count."""
+    priced = df.where(F.col(price) > 0)
+    median = F.broadcast(upper_median(priced, price))  # one row
+    flags = {"no price": ~F.coalesce(F.col(price) > 0, F.lit(False)), "odd price": F.coalesce((F.col(price) > 0) & ((F.col(price) < F.col("median") * 0.1) | (F.col(price) > F.col("median") * 10)), F.lit(False)), **{k: F.coalesce(c, F.lit(False)) for k, c in faults.items()}}
+    counts = df.join(median, how="left").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(brand).alias("brands"), F.count_if(~F.col(stock).eqNullSafe(F.lit(False))).alias("in stock"), *(F.count_if(c).alias(k) for k, c in flags.items()))
+    repeated = duplicate_groups(df, F.col(brand), F.lower(F.trim(name))).agg(F.count(F.lit(1)).alias("repeated names"))
+    names = ["rows", "brands", "in stock", *flags, "repeated names"]
+    both = counts.crossJoin(F.broadcast(repeated))  # one row each
+    share = lambda k: F.when(F.lit(k not in ("rows", "brands", "repeated names")), F.round(F.col(f"`{k}`") / F.col("rows"), 4))
+    return both.select(F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(f"`{k}`").alias("n"), share(k).alias("share")) for k in names))))
+
+
+def worst_groups(df: DataFrame, group: str, faults: dict[str, Column], limit: int = 5) -> DataFrame:
+    """(group, n, one count a fault, share): the groups with most faults a row; a row may have several. Ties by group."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in faults.items()))
+    total = sum((F.col(f"`{k}`") for k in faults), F.lit(0))
+    return counts.withColumn("share", F.round(total / F.col("n"), 4)).orderBy(F.desc(total / F.col("n")), F.col(group)).limit(limit)
+
+
+def recent(df: DataFrame, time: str, as_of: str, days: int = 7) -> Column:
+    """How many rows are of the last days before `as_of` (for agg())."""
+    return F.count_if(F.col(time) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(days)} days"))
+
+
+def rates(events: DataFrame, time: str, width: str, by: list[str], part: Column) -> DataFrame:
+    """(start, by, n, per_second, share) for each window of clock time: how many events, how many a second, the share that meets `part`."""
+    seconds = F.unix_micros(F.col("w.end")) / 1e6 - F.unix_micros(F.col("w.start")) / 1e6
+    counts = events.groupBy(F.window(F.col(time).cast("timestamp"), width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(part, F.lit(False))).alias("_part"))
+    return counts.select(F.col("w.start").alias("start"), *by, "n", F.round(F.col("n") / seconds, 6).alias("per_second"), F.round(F.col("_part") / F.col("n"), 4).alias("share"))
+
+
+def alerts(rated: DataFrame, limit: float, windows: int = 2, by: str = "event_type") -> DataFrame:
+    """(by, start, share): where the share has been above the limit for so many windows in a row, at the last of them."""
+    order = Window.partitionBy(by).orderBy("start")
+    run = F.min("share").over(order.rowsBetween(1 - windows, 0))
+    seen = F.count(F.lit(1)).over(order.rowsBetween(1 - windows, 0))
+    return rated.withColumns({"_least": run, "_seen": seen}).where((F.col("_least") > limit) & (F.col("_seen") == windows)).select(by, "start", "share")

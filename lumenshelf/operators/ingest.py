@@ -63,3 +63,12 @@ def patch(df: DataFrame, key: str, corrections: dict[str, Column]) -> DataFrame:
     """(key, field, old, new) of fields that a rule gives another value; nothing is written here."""
     items = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("old"), c.cast("string").alias("new")) for f, c in corrections.items()))
     return df.select(key, F.inline(items)).where(F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new")))
+
+
+def drop_report(before: DataFrame, after: DataFrame, key: str, image: str, kept: float = 0.5, least: int = 20) -> DataFrame:
+    """(key, before, after, images_before, images_after, few, bare): what a refresh did to each group's rows and to the share of them with a picture;
+    few: the rows fell below the share `kept` (of `least` rows or more); bare: the share of pictures did."""
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name), F.round(F.count_if(F.coalesce(F.col(image), F.lit("")) != "") / F.count(F.lit(1)), 4).alias(f"images_{name}"))
+    both = count(before, "before").join(count(after, "after"), key, "left").withColumns({"after": F.coalesce("after", F.lit(0)), "images_after": F.coalesce("images_after", F.lit(0.0))})
+    large = F.col("before") >= least
+    return both.withColumns({"few": large & (F.col("after") < kept * F.col("before")), "bare": large & (F.col("after") > 0) & (F.col("images_after") < kept * F.col("images_before"))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, evaluate, extras, filters, intents, outfits, probes, search, smoke
+from ..operators import audit, evaluate, extras, filters, ingest, intents, outfits, probes, search, smoke
 from ..session import shared_folder
 from ..sources import brands, selectors
 from ..streaming import worker
@@ -374,3 +374,53 @@ def request_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select("conv_id", "turn", raw.alias("raw"), message.alias("message"), F.when(k == 3, "embroidery first, then the season").alias("hint"))
     made = intents.intents(rows, hint="hint")
     return made.select("conv_id", "turn", "search_catalog", "color", "pieces", "gender", "dress_style", "max_budget", F.array_join("priority", ",").alias("priority"))
+
+
+# --- profiles and alerts ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT p_retailprice AS median FROM (SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice) - 1 AS i, count(*) OVER () AS n FROM part WHERE p_retailprice > 0) WHERE i = n // 2),
+c AS (SELECT count(*) AS rows, count(DISTINCT p_brand) AS brands, count(*) FILTER (p_size % 10 <> 0) AS stock, count(*) FILTER (p_retailprice < median * 0.1 OR p_retailprice > median * 10) AS odd, count(*) FILTER (length(p_name) < 8) AS short FROM part, m),
+d AS (SELECT count(*) AS n FROM (SELECT 1 FROM part GROUP BY p_brand, lower(trim(p_name)) HAVING count(*) > 1))
+SELECT unnest([{'measure': 'rows', 'n': rows, 'share': NULL::DOUBLE}, {'measure': 'brands', 'n': brands, 'share': NULL}, {'measure': 'in stock', 'n': stock, 'share': round(stock / rows, 4)}, {'measure': 'no price', 'n': 0, 'share': 0.0}, {'measure': 'odd price', 'n': odd, 'share': round(odd / rows, 4)},
+  {'measure': 'short name', 'n': short, 'share': round(short / rows, 4)}, {'measure': 'repeated names', 'n': d.n, 'share': NULL}], recursive := true) FROM c, d""")
+def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("in_stock", F.col("p_size") % 10 != 0)
+    return evaluate.profile(part, {"short name": F.length("p_name") < 8}, "p_retailprice", "p_brand", "p_name")
+
+
+@query("""SELECT p_brand, count(*) AS n, count(*) FILTER (length(p_name) < 8) AS short, count(*) FILTER (p_size % 10 = 0) AS sold_out, round((count(*) FILTER (length(p_name) < 8) + count(*) FILTER (p_size % 10 = 0)) / count(*), 4) AS share
+FROM part GROUP BY p_brand ORDER BY (count(*) FILTER (length(p_name) < 8) + count(*) FILTER (p_size % 10 = 0)) / count(*) DESC, p_brand LIMIT 5""")
+def worst_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.worst_groups(table(spark, sf_dir, "part"), "p_brand", {"short": F.length("p_name") < 8, "sold_out": F.col("p_size") % 10 == 0})
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY) AS last_week FROM events GROUP BY event_type")
+def recent_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), evaluate.recent(e, "ts", "2024-01-20").alias("last_week"))
+
+
+RATES = """WITH r AS (SELECT time_bucket(INTERVAL 12 HOURS, ts) AS start, event_type, count(*) AS n, round(count(*) / 43200, 6) AS per_second, round(count(*) FILTER (value > 60) / count(*), 4) AS share FROM events GROUP BY ALL)"""
+
+
+@query(RATES + " SELECT * FROM r")
+def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = evaluate.rates(table(spark, sf_dir, "events"), "ts", "12 hours", ["event_type"], F.col("value") > 60)
+    return rated.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(RATES + """, a AS (SELECT *, min(share) OVER w AS least, count(*) OVER w AS seen FROM r WINDOW w AS (PARTITION BY event_type ORDER BY start ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) SELECT event_type, start, share FROM a WHERE least > 0.3 AND seen = 2""")
+def rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = evaluate.rates(table(spark, sf_dir, "events"), "ts", "12 hours", ["event_type"], F.col("value") > 60)
+    return evaluate.alerts(rated, 0.3).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH b AS (SELECT p_brand, p_size, substr(p_brand, 7)::INT AS k, CASE WHEN p_size % 5 > 0 THEN 'x' ELSE '' END AS image FROM part), a AS (SELECT p_brand, CASE WHEN k % 4 = 1 AND p_size % 3 > 0 THEN NULL ELSE image END AS image FROM b WHERE p_size > CASE WHEN k % 4 = 0 THEN 30 ELSE 2 END),
+x AS (SELECT p_brand, count(*) AS before, round(count(*) FILTER (image <> '') / count(*), 4) AS images_before FROM b GROUP BY p_brand), y AS (SELECT p_brand, count(*) AS after, round(count(*) FILTER (image <> '') / count(*), 4) AS images_after FROM a GROUP BY p_brand)
+SELECT p_brand, before, images_before, coalesce(after, 0) AS after, coalesce(images_after, 0) AS images_after, before >= 20 AND coalesce(after, 0) < 0.5 * before AS few, before >= 20 AND coalesce(after, 0) > 0 AND coalesce(images_after, 0) < 0.5 * images_before AS bare FROM x LEFT JOIN y USING (p_brand)""")
+def refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("p_brand", 7, 3).cast("int")
+    before = table(spark, sf_dir, "part").select("p_brand", "p_size", F.when(F.col("p_size") % 5 > 0, "x").otherwise("").alias("image"))
+    after = before.where(F.col("p_size") > F.when(k % 4 == 0, 30).otherwise(2)).withColumn("image", F.when((k % 4 == 1) & (F.col("p_size") % 3 > 0), None).otherwise(F.col("image")))
+    return ingest.drop_report(before, after, "p_brand", "image")

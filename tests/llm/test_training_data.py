@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -203,6 +204,48 @@ def test_sketches_estimate():
     assert np.array_equal(fingerprint.from_text(fingerprint.to_text(x)), x)
 
 
+def plain_hash(parts):
+    """The hash of a shingle, from its words' bytes, in plain integers."""
+    m, c = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    total = 0
+    for w in parts:
+        h = mixed((int.from_bytes(w[:8], "little") + len(w) * c) & m)
+        for i in range(8, len(w), 8):
+            h = mixed((h * c + int.from_bytes(w[i : i + 8], "little")) & m)
+        total = (total * c + h) & m
+    return mixed(total if len(parts) == fingerprint.WIDTH else (total + len(parts)) & m)
+
+
+def test_sketches_equal_brute_force(corpus):
+    """Kept hashes by sets of plain integers; likenesses by the definition; and how far they lie from the exact ones."""
+    limit = 2**64 // 64
+    sets, kept = [], []
+    for t in corpus:
+        w = [x.encode() for x in clean_words(t)]
+        hashes = {plain_hash(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {plain_hash(w)} if w else set()
+        small = sorted(hashes)
+        sets.append(hashes)
+        kept.append([h for k, h in enumerate(small) if k < 16 or h < limit])
+    got = fingerprint.sketches([(t or "").encode() for t in corpus])
+    assert [g.tolist() for g in got] == kept
+    assert [fingerprint.to_text(g) for g in got] == [base64.b64encode(b"".join(h.to_bytes(8, "little") for h in k)).decode() for k in kept]
+    errors = []
+    for i, j in itertools.product(range(len(corpus)), repeat=2):
+        cut = min(2**64 if len(kept[x]) < 16 else max(limit, kept[x][15]) for x in (i, j))
+        a, b = ({h for h in kept[x] if h <= cut} for x in (i, j))
+        want = 1.0 if not kept[i] and not kept[j] else len(a & b) / len(a | b) if a | b else 0.0
+        assert fingerprint.likeness(got[i], got[j]) == want
+        if sets[i] and sets[j]:
+            errors.append(want - len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+    assert np.sqrt(np.mean(np.square(errors))) < 0.05 and max(map(abs, errors)) < 0.5
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------------
 
 

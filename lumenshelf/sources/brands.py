@@ -31,7 +31,7 @@ def collections(config: DataFrame) -> DataFrame:
 
 
 def parse_only(text: str | None) -> list[str]:
-    """`Khaadi, Maria B` -> the keys of these brands; empty: no limit."""
+    """`Alder, Birch B` -> the keys of these brands; empty: no limit."""
     return [b for b in (x.strip().lower() for x in (text or "").split(",")) if b]
 
 

@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from lumenshelf.sources import brands, selectors
 
 CONFIG = [
-    {"brand": "Khaadi", "base_url": "https://k.example/", "adapter": "A", "category": "clothing", "collections": [{"path": "/new", "sub_category": "kurta", "occasion": ["eid"], "style": [], "gender": "women"}, {"path": "/men", "gender": "men"}]},
-    {"brand": "Maria B", "base_url": "https://m.example", "adapter": "A", "category": "clothing", "collections": []},
-    {"brand": "Stylo", "base_url": "https://s.example", "adapter": "B", "category": "shoes", "collections": [{"path": "/heels", "gender": "women"}]},
+    {"brand": "Alder", "base_url": "https://k.example/", "adapter": "A", "category": "clothing", "collections": [{"path": "/new", "sub_category": "kurta", "occasion": ["eid"], "style": [], "gender": "women"}, {"path": "/men", "gender": "men"}]},
+    {"brand": "Birch B", "base_url": "https://m.example", "adapter": "A", "category": "clothing", "collections": []},
+    {"brand": "Cedar", "base_url": "https://s.example", "adapter": "B", "category": "shoes", "collections": [{"path": "/heels", "gender": "women"}]},
 ]
 
 
 def test_runs_read_only_the_folders_of_their_brands(spark, tmp_path):
     (tmp_path / "config.json").write_text(json.dumps(CONFIG))
     dimension = brands.read_config(spark, str(tmp_path / "config.json"))
-    assert [(r.brand, r.url) for r in dimension.orderBy("brand", "url").collect()] == [("Khaadi", "https://k.example/men"), ("Khaadi", "https://k.example/new"), ("Maria B", None), ("Stylo", "https://s.example/heels")]
+    assert [(r.brand, r.url) for r in dimension.orderBy("brand", "url").collect()] == [("Alder", "https://k.example/men"), ("Alder", "https://k.example/new"), ("Birch B", None), ("Cedar", "https://s.example/heels")]
     brands.store_dimension(dimension, str(tmp_path / "dimension"))
-    listings = spark.range(3000).select("id", F.element_at(F.array(F.lit("KHAADI"), F.lit("Maria B "), F.lit("Stylo")), (F.col("id") % 3 + 1).cast("int")).alias("brand"), F.lit("x" * 50).alias("text"))
+    listings = spark.range(3000).select("id", F.element_at(F.array(F.lit("ALDER"), F.lit("Birch B "), F.lit("Cedar")), (F.col("id") % 3 + 1).cast("int")).alias("brand"), F.lit("x" * 50).alias("text"))
     brands.store_listings(listings, str(tmp_path / "listings"))
-    run = brands.run(spark, str(tmp_path / "listings"), str(tmp_path / "dimension"), " khaadi , Maria B", "clothing")
+    run = brands.run(spark, str(tmp_path / "listings"), str(tmp_path / "dimension"), " alder , Birch B", "clothing")
     assert run.count() == 1000 * 2 + 1000
     plan = run._jdf.queryExecution().toString()
     assert "dynamicpruning" in plan.lower()
     run.collect()
-    assert {r[0] for r in run.select("brand_key").distinct().collect()} == {"khaadi", "maria b"}
+    assert {r[0] for r in run.select("brand_key").distinct().collect()} == {"alder", "birch b"}
     assert brands.run(spark, str(tmp_path / "listings"), str(tmp_path / "dimension")).count() == 1000 * 4
     assert brands.parse_only(None) == [] and brands.parse_only(" , A,") == ["a"]
-    df = spark.createDataFrame([("Khaadi",), (None,)], "brand string")
-    assert df.where(brands.allowed(["khaadi"])).count() == 1 and df.where(brands.allowed([])).count() == 2
+    df = spark.createDataFrame([("Alder",), (None,)], "brand string")
+    assert df.where(brands.allowed(["alder"])).count() == 1 and df.where(brands.allowed([])).count() == 2
 
 
 def page(*cards):

@@ -27,6 +27,9 @@ LEAF = 512
 CELLS = 6
 
 
+HUGE = 1e100
+
+
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -142,6 +145,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     v = F.col(vector).cast(f"array<{element}>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & (F.size("v") > 0)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v"))
+    if element == "double":  # squares of such numbers aren't within doubles; powers of two change no cosine
+        top = F.array_max(F.transform("v", F.abs))
+        half = F.pow(F.lit(2.0), -F.floor(F.log2(top) / 2))
+        rows = rows.withColumn("v", F.when((top > HUGE) | ((top > 0) & (top < 1 / HUGE)), F.transform("v", lambda x: x * half * half)).otherwise(F.col("v")))
     named = rows.withColumn("fine", F.coalesce(F.col("v").isNotNull() & fine & F.col("id").isNotNull(), F.lit(False)))
     named = named.withColumns({"k1": F.when(F.col("fine"), F.xxhash64("v")), "k2": F.when(F.col("fine"), F.xxhash64(F.lit(7), "v"))})
     reps = store.keep(named.where("fine").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("dim", F.size("v").cast("long")))

@@ -65,6 +65,29 @@ def test_egojoin(spark):
     assert egojoin.near_vectors(df.limit(0)).count() == 0
 
 
+def test_egojoin_of_extreme_vectors_repeated_rows_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 8))
+    rows, plain = [], {}
+    for i in range(60):
+        v = base[i % 6] + rng.normal(size=8) * 0.1 * (i % 3)
+        plain[i] = v / np.linalg.norm(v)
+        rows.append((i, (v * [1.0, 1e200, 1e-200, 3e-310, 1e307][i % 5]).tolist()))
+    rows += [(3, rows[3][1]), (3, rows[3][1]), (None, rows[4][1]), (None, None), (70, [5e-324] * 8), (71, [1e308] * 8), (72, [float("inf")] + [1.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("clash"), "rep": F.lit(1), "v": F.lit(2), "dim": F.lit(3), "k1": F.lit(4), "fine": F.lit(5)})
+    got = egojoin.near_vectors(df, cosine=0.9).collect()
+    assert len(got) == len(rows)
+    plain[70] = plain[71] = np.ones(8) / np.sqrt(8)
+    links = {i: [j for j in plain if j != i and plain[i] @ plain[j] >= 0.9] for i in plain}
+    assert min(abs(plain[i] @ plain[j] - 0.9) for i in plain for j in plain) > 1e-6
+    want = smallest(links, plain)
+    by_id = {r.id: (r.n_links, r.component) for r in got if r.id is not None and r.id not in (3, 72)}
+    near_3 = {i: sum(j == 3 for j in links[i]) for i in links}
+    # rows that repeat an id are vectors of their own
+    assert by_id == {i: (len(links[i]) + 2 * near_3[i], want[i]) for i in links if i != 3}
+    assert {(r.n_links, r.component) for r in got if r.id == 72 or r.id is None} == {(0, 72), (0, None)}
+
+
 def smallest(links, ids):
     out = {}
     for i in sorted(ids):

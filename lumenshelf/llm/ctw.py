@@ -30,7 +30,7 @@ from .arrays import U, Words, mix, ragged, row_chunks, signed
 from .common import Scratch
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 CHUNK = 1 << 18
 SEEN = "block long, kind int, key long, n long"
 

@@ -604,14 +604,14 @@ def test_bpe_equals_library(spark, corpus):
 
 
 def test_urls(spark):
-    urls = ["https://A.Example.ORG/es/1?x", "http://a.example.org/en/12", "http://com/fr/x", "http://notcom/fr/x", None, "no scheme", "https://x.com#y", "https://x.com/de/1", "https://x.com/de/2.html", "ftp://net/a/b/c/d/e/f"]
+    urls = ["https://A.Example.ORG/es/1?x", "http://a.example.org/en/12", "http://com/fr/x", "http://notcom/fr/x", None, "no scheme", "https://x.com#y", "https://x.com/de/1", "https://x.com/de/2.html", "ftp://net/a/b/c/d/e/f/g/h/i/j"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))
     got = {r.page_id: r for r in urltree.judge(df).collect()}
     assert len(got) == len(urls)
     assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert (got[1].rule, got[2].verdict, got[3].rule) == ("example.org/en/1", "allow", None)
     assert (got[4].host, got[4].path, got[5].host, got[6].path) == ("", "", "", "")
-    assert got[8].template == "/de/*.html" and got[9].template == "/a/b/c/d/**"
+    assert got[8].template == "/de/*.html" and got[9].template == "/a/b/c/d/e/f/g/h/**"
     assert all(r.verdict in ("allow", "block") for r in got.values())
     assert urltree.judge(df.limit(0)).count() == 0
 
@@ -629,3 +629,38 @@ def test_similar_branches_share_their_labels(spark):
     host = (11 + 2 * prior) / (11 + 2)
     assert abs(got[11].purity - (0 + 2 * host) / 2) < 1e-9 and got[0].purity == got[3].purity
     assert abs(next(r for i, r in got.items() if rows[i] == "http://b.net/x").purity - prior) < 1e-9
+
+
+def test_templates_decide_against_their_host(spark):
+    rules = [("a.com", "/bad/", "block"), ("b.com", "/good/", "allow"), ("c.com", "/en/1", "block"), ("c.com", "/en/2", "allow")]
+    rows = [f"http://a.com/bad/{i}" for i in range(20)] + [f"http://b.com/good/{i}" for i in range(20)] + [f"http://b.com/bad/{i}" for i in range(3)]
+    rows += [f"http://c.com/en/{k}{i}{end}" for k in (1, 2) for i in range(10) for end in ("", ".html")][:-1]
+    rows += [f"http://c.com/en/1{i}.php" for i in range(20)] + ["http://c.com/en/3.html", "http://c.com/en/3.php", "http://d.com/new/page"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumn("basis", F.lit(1))
+    got = {rows[r.page_id]: r for r in urltree.judge(df, rules=rules).collect()}
+    for i in range(3):  # the host has 20 pages allowed, none blocked; the same template elsewhere is blocked
+        r = got[f"http://b.com/bad/{i}"]
+        assert (r.rule, r.verdict, r.template, r.basis) == (None, "block", "/bad/*", "template")
+    # siblings of 10/20 and 10/19 are one branch, 20/20 is one of its own
+    prior = (20 + 20 + 20 + 0.5) / (20 + 20 + 39 + 20 + 2)
+    host = (40 + 2 * prior) / (59 + 2)
+    siblings = (40 + 2 * host) / (59 + 2)
+    html = (20 + 2 * (10 + 2 * siblings) / (19 + 2)) / (39 + 2)
+    php = (20 + 2 * (20 + 2 * siblings) / (20 + 2)) / (20 + 2)
+    for url, want, verdict in [("http://c.com/en/3.html", html, "block" if html > 0.5 else "allow"), ("http://c.com/en/3.php", php, "block")]:
+        assert abs(got[url].purity - want) < 1e-12 and (got[url].verdict, got[url].basis) == (verdict, "branch")
+    assert got["http://d.com/new/page"].basis == "prior" and got["http://a.com/bad/0"].basis == "rule"
+    assert abs(got["http://d.com/new/page"].purity - prior) < 1e-12
+
+
+def test_hot_hosts_are_dealt(spark, monkeypatch):
+    """With a low threshold of what is hot, hosts, templates and branches take their salted and broadcast ways; verdicts stay."""
+    rows = [f"http://{h}.com/{d}/{i}{end}" for h in ("a", "b", "c") for d in ("de", "en", "fr", "x") for i in range(12) for end in ("", ".html")]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = [("com", "/fr/", "allow"), ("com", "/de/1", "block"), ("a.com", "/en/", "block"), ("b.com", "/x/1", "block")]
+    want = sorted(tuple(r) for r in urltree.judge(df, rules=rules).collect())
+    monkeypatch.setattr(urltree, "HOT", 3)
+    monkeypatch.setattr(urltree, "HOSTS", 40)
+    got = sorted(tuple(r) for r in urltree.judge(df, rules=rules).collect())
+    assert [r[:-2] + r[-1:] for r in got] == [r[:-2] + r[-1:] for r in want]
+    assert all(abs(x[-2] - y[-2]) < 1e-12 for x, y in zip(got, want, strict=True))

@@ -62,10 +62,24 @@ class Scratch:
         self.live[path] = out
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """df as a table in as many buckets of `key` as a shuffle has partitions: joins by the key move the other side only. Its
+        name is in the session's catalog until the table is dropped, its files are with the other tables'."""
+        self.n += 1
+        path, name = f"{self.root}/t{self.n}", f"scratch_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path, out._scratch_name = path, name
+        self.live[path] = out
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables nothing will read again."""
         for df in tables:
             if self.live.pop(df._scratch_path, None) is not None:
+                if hasattr(df, "_scratch_name"):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {df._scratch_name}")
                 fs, path = self._hadoop(df._scratch_path)
                 fs.delete(path, True)
 

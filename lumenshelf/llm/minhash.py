@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, Words, bounds, mix, row_chunks, signed, small
@@ -30,6 +30,7 @@ from .components import components
 HASHES, ROWS = 128, 4
 TURNS = 2
 SLACK = 0.2  # a signature may agree this much less than the similarity asked for
+MEMBERS = 4096  # pairs of a pivot that meet in one task
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 SIGNED = "id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
@@ -242,39 +243,45 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     buckets = store.keep(members.select("bucket", "rep").join(central, "rep"))
     store.drop(members)
     involved = buckets.select("rep").distinct()
-    minima = store.keep(reps.join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
+    minima = store.bucketed(reps.join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "rep")
     # links through repeated ids: sets that one id stands for
     edges = store.keep(full.join(reps.select("n_shingles", "set_a", "set_b", "rep"), ["n_shingles", "set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
     sizes = store.keep(sets.select("id", "n_shingles"))
     store.drop(sets, reps)
     store.release()
     wanted = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = store.keep(wanted.where("rep is not null and text is not null").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
+    texts = store.bucketed(wanted.where("rep is not null and text is not null").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "rep")
     least = hashes * (percent / 100 - SLACK)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Signature verification, then confirmation."""
-        for x in ("a", "b"):
-            pairs = pairs.join(minima.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}")), x)
-        same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        pairs = pairs.where(same >= least).select("a", "b")
-        for x in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}")), x)
-        return confirm(pairs, width, percent)
+    def met(pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        """pairs: (m, p, salts), members and their pivots. Adds m_ and p_`name`. The facts of a member go to its pivot; those of a pivot with
+        many members are copied, so the members are dealt over `salts` tasks."""
+        of_m = pairs.join(facts.select(F.col("rep").alias("m"), F.col(name).alias(f"m_{name}")), "m").withColumn("salt", F.pmod(F.xxhash64("m"), "salts"))
+        of_p = pairs.select("p", "salts").distinct().join(facts.select(F.col("rep").alias("p"), F.col(name).alias(f"p_{name}")), "p")
+        return of_m.join(of_p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), ["p", "salt"])
+
+    def links(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Signature verification, then confirmation: the links, and the table that they are read from."""
+        same = F.aggregate(F.zip_with("m_signature", "p_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        near = store.keep(met(pairs, minima, "signature").where(same >= least).select("m", "p", "salts"))
+        both = met(near, texts, "text")
+        return confirm(both.select(F.col("m").alias("a"), F.col("p").alias("b"), F.col("m_text").alias("text_a"), F.col("p_text").alias("text_b")), width, percent), near
 
     of = None
     for _ in range(TURNS):
         now = buckets.withColumn("c", F.col("rep")) if of is None else buckets.join(of, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        apart = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct("w", F.xxhash64("rep"), "rep", "c")).alias("pivot")).where("low < high")
-        apart = store.keep(apart.select("bucket", F.col("pivot.rep").alias("p"), F.col("pivot.c").alias("pc")))
-        pairs = now.join(apart, "bucket").where("c <> pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        got = links(pairs)
+        apart = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.max(F.struct("w", F.xxhash64("rep"), "rep", "c")).alias("pivot")).where("low < high")
+        apart = store.keep(apart.select("bucket", "n", F.col("pivot.rep").alias("p"), F.col("pivot.c").alias("pc")))
+        salts = apart.groupBy("p").agg(F.ceil(F.sum("n") / MEMBERS).alias("salts"))
+        pairs = now.join(apart.join(salts, "p"), "bucket").where("c <> pc").groupBy(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).agg(F.max(F.struct("p", "salts")).alias("v"))
+        pairs = store.keep(pairs.select(F.when(F.col("v.p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("m"), "v.p", "v.salts"))
+        got, near = links(pairs)
         if of is not None:
             got = got.union(of.select(F.col("rep").alias("a"), F.col("component").alias("b")))
         new = store.keep(components(got, store).withColumnRenamed("id", "rep"))
         # the pivots have met everyone in their buckets
         rest = store.keep(buckets.join(apart.select("bucket", "p"), "bucket").where("rep <> p").drop("p"))
-        store.drop(buckets, apart, *([] if of is None else [of]))
+        store.drop(buckets, apart, pairs, near, *([] if of is None else [of]))
         of, buckets = new, rest
         store.release()
     # Buckets still apart: what their pivots didn't join is compared in blocks.

@@ -664,3 +664,15 @@ def test_hot_hosts_are_dealt(spark, monkeypatch):
     got = sorted(tuple(r) for r in urltree.judge(df, rules=rules).collect())
     assert [r[:-2] + r[-1:] for r in got] == [r[:-2] + r[-1:] for r in want]
     assert all(abs(x[-2] - y[-2]) < 1e-12 for x, y in zip(got, want, strict=True))
+
+
+def test_minhash_pivots_with_many_members(spark, monkeypatch):
+    """A pivot's members are dealt over several tasks; links are the same as by full sets."""
+    rng = random.Random(12)
+    core = words(rng, 120)
+    texts = [" ".join(core[:i] + ["x%d" % i] + core[i + 1 :]) for i in range(0, 120, 6)] + [" ".join(words(rng, 60)) for _ in range(5)]
+    monkeypatch.setattr(minhash, "MEMBERS", 3)
+    got = {r.id: r.component for r in minhash.near_duplicates(frame(spark, texts), width=3, percent=85).collect()}
+    sets = [shingle_set(t, 3) for t in texts]
+    links = {i: [j for j in range(len(sets)) if j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    assert sum(map(len, links.values())) > 200 and got == smallest(links, range(len(texts)))

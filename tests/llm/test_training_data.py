@@ -500,6 +500,20 @@ def test_passages_of_covered_windows_and_second_copies(spark):
         assert got[i] == cover
 
 
+def near_copy(rng, text, at):
+    return [f"e{rng.random()}" if k in at else w for k, w in enumerate(text)]
+
+
+def test_windows_meet_for_every_near_copy():
+    """One edit in the middle of 50 words leaves runs of 20 and 21 shingles: the hardest place."""
+    rng = random.Random(31)
+    for _ in range(300):
+        core = words(rng, rng.choice([50, 51]), 10**6)
+        texts = [" ".join([*words(rng, 40, 10**6), *t, *words(rng, 40, 10**6)]).encode() for t in (core, near_copy(rng, core, [25]))]
+        other = passages._windows(texts, np.array([1, 2]), 50)[3]
+        assert (other == 1).any()
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     v = rng.integers(0, 2**63, 300, dtype=np.uint64)

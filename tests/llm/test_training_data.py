@@ -514,6 +514,22 @@ def test_windows_meet_for_every_near_copy():
         assert (other == 1).any()
 
 
+def test_near_copies_of_texts_that_are_not_the_first_of_their_group(spark):
+    """Many texts share a line, the first one among them; near copies, in the order of ids, stand far apart. `many_docs` 4: by a shared shingle."""
+    rng = random.Random(32)
+    new = lambda n: words(rng, n, 10**6)
+    line = new(44)
+    cores = [[*new(6), *line] for _ in range(6)]
+    texts = [[*new(40), *line, *new(40)] for _ in range(3)]
+    texts += [[*new(20), *c, *new(20)] for c in cores]
+    texts += [[*new(25), *near_copy(rng, c, [5]), *new(25)] for c in cores[3:] + cores[:3]]
+    texts += [[*new(40), *line, *new(40)] for _ in range(2)]
+    df = frame(spark, [" ".join(t) for t in texts])
+    for many in (100, 4):
+        got = {r.doc_id: list(r.links) for r in passages.by_document(df, many_docs=many).collect()}
+        assert got == {i: [[6, 7, 8, 3, 4, 5][i - 9]] if 9 <= i < 15 else [] for i in range(len(texts))}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     v = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -214,12 +214,13 @@ def photo_colors(text: str | Column, what: str = "colors", most: int = 2) -> Col
 
 
 CELL_ROWS, CELL_QUERIES = 50_000, 2_000
+BLOCK = 1 << 21  # scores that are in memory at once
 
 
 def matrix_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, label: str, bonus: Callable[[np.ndarray, np.ndarray], np.ndarray], weight: float = 0.5, digits: int = 3, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES) -> DataFrame:
     """(query_id, key, score, rank): for each query the k best rows by weight * cosine + bonus, rounded half up; ties by key; a row isn't its own match.
     bonus(labels of queries, labels of rows) gives a matrix. Both sides are dealt to cells of a bounded size; each pair of cells is
-    one product of two matrices, of which the k best rows a query go on: pairs of rows are never written. Rows without a vector, or
+    a product of two matrices, worked out for a few queries at a time (BLOCK), of which the k best rows a query go on: pairs of rows are never written. Rows without a vector, or
     with an empty one, match nothing."""
     pick = lambda df: df.where((F.size(vector) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))
     mine, theirs = pick(queries), pick(rows)
@@ -238,11 +239,16 @@ def matrix_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
         if q.num_rows and r.num_rows:
             ids, own = r.column("id").to_numpy(), q.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            scores = weight * (matrix(q) @ matrix(r).T) + bonus(np.array(q.column("l").to_pylist()), np.array(r.column("l").to_pylist()))
-            scores = (np.floor(scores * 10**digits + 0.5) / 10**digits)[:, order]
-            scores[own[:, None] == ids[order][None, :]] = -np.inf
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores in the order of ids
-            out = [(a, int(ids[order[j]]), float(scores[i, j])) for i, a in enumerate(own.tolist()) for j in top[i].tolist() if scores[i, j] > -np.inf]
+            ids, theirs_l, mine_l = ids[order], np.array(r.column("l").to_pylist())[order], np.array(q.column("l").to_pylist())
+            left_m, right_m = matrix(q), matrix(r)[order].T
+            step = max(1, BLOCK // len(ids))
+            for at in range(0, len(own), step):
+                part = slice(at, at + step)
+                scores = weight * (left_m[part] @ right_m) + bonus(mine_l[part], theirs_l)
+                scores = np.floor(scores * 10**digits + 0.5) / 10**digits
+                scores[own[part, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores in the order of ids
+                out += [(a, int(ids[j]), float(scores[i, j])) for i, a in enumerate(own[part].tolist()) for j in top[i].tolist() if scores[i, j] > -np.inf]
         names = ["query_id", "id", "score"]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True))})
 

@@ -114,3 +114,13 @@ def test_matrix_topk_in_cells(spark):
             want = sorted((i for i in range(150) if i != q), key=lambda i: (-score[q, i], i))[:4]
             assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
         assert {r.query_id for r in got} == set(range(3, 150, 10))
+
+
+def test_matrix_topk_scores_few_queries_at_once(spark):
+    def bonus(mine, theirs):
+        assert len(mine) * len(theirs) <= 1 << 21
+        return np.zeros((len(mine), len(theirs)))
+
+    df = spark.range(2000).selectExpr("id", "array(double(id % 7 + 1), double(id % 11)) AS v", "0 AS l")
+    got = search.matrix_topk(df, df, "id", "v", 1, "l", bonus)
+    assert got.count() == 2000

@@ -163,8 +163,15 @@ def shoe_gender() -> Column:
 
 
 def audited(df: DataFrame, key: str, check: Callable[[], Column] = consistency) -> DataFrame:
-    """(key, severity, type, detail): a row for each issue."""
-    return df.select(key, F.inline(check()))
+    """(key, severity, type, detail): a row for each issue. Rules cost far more than a row's move: rows are dealt to all cores first,
+    for a table may lie in one small file, which one task would read."""
+    return _dealt(df, key).select(key, F.inline(check()))
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
 
 
 def rates(df: DataFrame, check: Callable[[], Column] = consistency) -> DataFrame:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lumenshelf.operators import accessories, requests
+from lumenshelf.operators import accessories, audit, lists, requests
 from lumenshelf.plans.products import products
 
 RAW = "title string, images array<string>, price double, product_url string, tags array<string>, description string, sub_category string, occasion array<string>, gender string"
@@ -117,6 +117,10 @@ def test_matrix_topk_in_cells(spark):
 
 
 def test_matrix_topk_scores_few_queries_at_once(spark):
+    import numpy as np
+
+    from lumenshelf.operators import search
+
     def bonus(mine, theirs):
         assert len(mine) * len(theirs) <= 1 << 21
         return np.zeros((len(mine), len(theirs)))
@@ -124,3 +128,20 @@ def test_matrix_topk_scores_few_queries_at_once(spark):
     df = spark.range(2000).selectExpr("id", "array(double(id % 7 + 1), double(id % 11)) AS v", "0 AS l")
     got = search.matrix_topk(df, df, "id", "v", 1, "l", bonus)
     assert got.count() == 2000
+
+
+def test_audits_are_dealt_to_all_cores(spark):
+    one = products(spark, "/root/testdata/sf0.001").coalesce(1).withColumn("tags", F.lit(None).cast("array<string>"))
+    assert audit.audited(one, "id").rdd.getNumPartitions() >= 4
+
+
+def test_first_under_any_price_sorts_nothing_as_a_whole(spark):
+    rows = spark.range(120_000).selectExpr("'a' AS l", "(id * 7919) % 120000 AS r", "double((id * 104729) % 5003) AS p").coalesce(1)
+    short = lists.first_under_any_price(rows, "l", "r", "p", 2)
+    assert "Sort" not in short._jdf.queryExecution().executedPlan().toString()
+    lowest, want = [], set()
+    for r, p in sorted((x.r, x.p) for x in rows.collect()):
+        if len(lowest) < 2 or p < lowest[-1]:
+            want.add((r, p))
+            lowest = sorted([*lowest, p])[:2]
+    assert {(x.r, x.p) for x in short.collect()} == want

@@ -530,6 +530,44 @@ def test_near_copies_of_texts_that_are_not_the_first_of_their_group(spark):
         assert got == {i: [[6, 7, 8, 3, 4, 5][i - 9]] if 9 <= i < 15 else [] for i in range(len(texts))}
 
 
+def test_every_window_of_a_pivot_meets_other_chunks():
+    """A line stands twice in a text, the second time within a passage that is its own: the first of a chunk keeps both windows."""
+    rng = random.Random(33)
+    new = lambda n: words(rng, n, 10**6)
+    line = new(60)
+    text = " ".join([*new(60), *line, *new(60), *line, *new(60)]).encode()
+    key, _, c, _, oc, own = passages._windows([text, " ".join(line).encode()], np.array([5, 6]), 50)
+    assert (oc[c < 0] >= 0).all()
+    places = {k: sorted(c[(key == k) & (oc == passages.NONE)].tolist()) for k in set(own[oc >= 0].tolist())}
+    assert len(places) > 2 and any(len(x) > 1 and x[-1] - x[0] == 120 for x in places.values())
+
+
+def test_seeds_that_can_lie_in_a_passage():
+    rng = np.random.default_rng(34)
+    for _ in range(60):
+        rows = [rng.random(rng.integers(0, 300)) < rng.choice([0.6, 0.75, 0.8, 0.85]) for _ in range(4)]
+        seeds = [(r, int(c)) for r, x in enumerate(rows) for c in (rng.integers(0, len(x), 5) if len(x) else [])]
+        got = passages._promising(np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])], *np.array(seeds).reshape(-1, 2).T, 46, 80)
+        for ok, (r, c) in zip(got, seeds, strict=True):
+            sums = np.r_[0, np.cumsum(np.where(rows[r], 20, -80))]
+            dense = any(sums[j] >= sums[i] for i in range(max(0, c - 128), c + 1) for j in range(i + 46, min(len(sums), i + 129)))
+            run = any(s <= c <= e and e - s >= 45 for s, e in passages._runs(np.flatnonzero(rows[r]), passages.GAP)) if rows[r].any() else False
+            assert ok == (dense or run)
+
+
+def test_passages_of_copies(spark):
+    rng = random.Random(35)
+    new = lambda n: words(rng, n, 10**6)
+    core = new(70)
+    texts = [[*new(20), *core], [*core, *new(30)], [*new(9), *core, *new(9)]]
+    ids = [1, 2, 3, 4, 5, 6]
+    df = frame(spark, [" ".join(t) for t in [texts[0], texts[1], texts[0], texts[2], texts[1], texts[1]]], ids)
+    got = {r.doc_id: ([(s.start, s.end, s.other) for s in r.spans], r.n_dup_words, r.component) for r in passages.by_document(df).collect()}
+    assert got[1] == ([], 0, 1) and got[2] == ([(0, 70, 1)], 70, 1) and got[3] == ([(0, 90, 1)], 90, 1)
+    assert got[4] == ([(9, 79, 1)], 70, 1) and got[5] == got[6] == ([(0, 100, 2)], 100, 1)
+    assert passages._copies(df.selectExpr("doc_id as doc", "text"), 50).count() == 3
+
+
 def test_compact_windows():
     rng = np.random.default_rng(7)
     v = rng.integers(0, 2**63, 300, dtype=np.uint64)

@@ -530,6 +530,44 @@ def test_near_copies_of_texts_that_are_not_the_first_of_their_group(spark):
         assert got == {i: [[6, 7, 8, 3, 4, 5][i - 9]] if 9 <= i < 15 else [] for i in range(len(texts))}
 
 
+def test_near_copies_that_share_only_common_shingles(spark):
+    """Two lines that more than `many_docs` texts have stand beside each other in two texts only, with another word between them."""
+    rng = random.Random(36)
+    new = lambda n: words(rng, n, 10**6)
+    lines = [new(26), new(26)]
+    alone = lambda: [[*new(30), *line, *new(30)] for line in lines for _ in range(3)]
+    pair = lambda: [*new(20), *lines[0], *new(1), *lines[1], *new(20)]
+    texts = [*alone(), pair(), *alone(), pair(), *alone()]
+    df = frame(spark, [" ".join(t) for t in texts])
+    got = {r.doc_id: [(s.start, s.end, s.other) for s in r.spans] for r in passages.by_document(df, many_docs=4).collect()}
+    assert got == {i: [(20, 73, 6)] if i == 13 else [] for i in range(len(texts))}
+
+
+def test_places_of_common_shingles():
+    rng = np.random.default_rng(37)
+    for _ in range(30):
+        n = int(rng.integers(1, 220))
+        h = np.arange(n) if rng.random() < 0.5 else rng.integers(0, 60, n)
+        common = (rng.random(300) < rng.choice([0.8, 0.9]))[h]
+        c = np.arange(max(0, n - passages.RUN + 1))
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for size in range(46, min(n - i, 128) + 1):
+                own = len(set(h[i : i + size].tolist()))
+                has = len(set(h[i : i + size][common[i : i + size]].tolist()))
+                if own > 1 and 100 * has >= 80 * own and (own < size or 180 * has >= 80 * (own + 46)):
+                    want[i : i + size - passages.RUN + 1] = True
+        assert (passages._dense(common, h.astype(np.uint64), c, 46, 80) == want[: len(c)]).all()
+
+
+def test_known_passages_are_not_compared_again():
+    rng = np.random.default_rng(38)
+    core, hashes = rng.integers(0, 2**63, 100, dtype=np.uint64), lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    a, b = np.r_[hashes(40), core, hashes(40)], np.r_[hashes(9), core, hashes(9)]
+    for known, want in [([], [(40, 144)]), ([(40, 144)], []), ([(30, 90), (90, 150)], []), ([(41, 144)], [(40, 144)]), ([(0, 100)], [(40, 144)])]:
+        assert [(s, e) for s, e, _ in passages.compare(a, b, [(60, 29)], 50, 80, known)] == want
+
+
 def test_every_window_of_a_pivot_meets_other_chunks():
     """A line stands twice in a text, the second time within a passage that is its own: the first of a chunk keeps both windows."""
     rng = random.Random(33)

@@ -247,8 +247,13 @@ def matrix_topk(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: i
                 scores = weight * (left_m[part] @ right_m) + bonus(mine_l[part], theirs_l)
                 scores = np.floor(scores * 10**digits + 0.5) / 10**digits
                 scores[own[part, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores in the order of ids
-                out += [(a, int(ids[j]), float(scores[i, j])) for i, a in enumerate(own[part].tolist()) for j in top[i].tolist() if scores[i, j] > -np.inf]
+                least = np.partition(scores, -k, axis=1)[:, -k, None] if k < len(ids) else -np.inf
+                i, j = np.nonzero((scores >= least) & (scores > -np.inf))
+                by = np.lexsort((j, -scores[i, j], i))  # equal scores in the order of ids
+                i, j = i[by], j[by]
+                best_k = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[best_k], j[best_k]
+                out += zip(own[part][i].tolist(), ids[j].tolist(), scores[i, j].tolist(), strict=True)
         names = ["query_id", "id", "score"]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True))})
 

@@ -130,6 +130,15 @@ def test_matrix_topk_scores_few_queries_at_once(spark):
     assert got.count() == 2000
 
 
+def test_every_row_is_a_query_of_pair_scores(spark):
+    from lumenshelf.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.pair_score_topk(spark, sf).groupBy("query_id").count().collect()
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in got} == ids and {r["count"] for r in got} == {3}
+
+
 def test_audits_are_dealt_to_all_cores(spark):
     one = products(spark, "/root/testdata/sf0.001").coalesce(1).withColumn("tags", F.lit(None).cast("array<string>"))
     assert audit.audited(one, "id").rdd.getNumPartitions() >= 4
